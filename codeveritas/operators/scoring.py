@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import arrays, text
 from ..sources.files import coerce_language
 from . import heuristics, symbols
 from .dependencies import penalised
@@ -24,7 +24,7 @@ def base_probability(code: Column, model_probability: Column | None = None) -> C
     return (
         F.when(text.is_blank(code), 0.0)
         .when(symbols.is_python(), python)
-        .otherwise(heuristics.mix(heuristics.signals(code)))
+        .otherwise(arrays.let(heuristics.signals(code), heuristics.mix))
     )
 
 

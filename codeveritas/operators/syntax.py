@@ -16,24 +16,29 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .symbols import KEY, is_python
 
 # Workers get these functions by value, so executors need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-TOKENS = "array<struct<kind:string,text:string>>"
-NODES = (
-    "array<struct<id:int,parent:int,last:int,depth:int,nesting:int,type:string,role:string,"
-    "idx:int,name:string,n:int,line:int,start:int,end:int>>"
+TOKENS = T.ArrayType(T.StructType([
+    T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()),
+]))
+_TEXT_FIELDS = ("type", "role", "name")
+_NODE_FIELDS = (
+    "id", "parent", "last", "depth", "nesting", "type", "role", "idx", "name", "n", "line",
+    "start", "end",
 )
+NODES = T.ArrayType(T.StructType([
+    T.StructField(f, T.StringType() if f in _TEXT_FIELDS else T.IntegerType())
+    for f in _NODE_FIELDS
+]))
 _TOKEN = pa.struct([("kind", pa.string()), ("text", pa.string())])
-_NODE = pa.struct([
-    ("id", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()),
-    ("nesting", pa.int32()), ("type", pa.string()), ("role", pa.string()), ("idx", pa.int32()),
-    ("name", pa.string()), ("n", pa.int32()), ("line", pa.int32()), ("start", pa.int32()),
-    ("end", pa.int32()),
-])
+_NODE = pa.struct(
+    [(f, pa.string() if f in _TEXT_FIELDS else pa.int32()) for f in _NODE_FIELDS]
+)
 
 _NESTING = (ast.If, ast.For, ast.While, ast.With, ast.Try, ast.TryStar)
 _COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)

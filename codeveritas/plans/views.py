@@ -6,6 +6,7 @@ so both sides start from the same rows.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -186,3 +187,138 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("m"),
     )
     return both.select("doc_id", "label", "m.model", "m.probability")
+
+
+# Python programs that parse: the text becomes comments below generated code.
+MODULE_BLOCK = (
+    "concat('def work(a, b):', chr(10), '    \"\"\"doc\"\"\"', chr(10), '    for i in a:', chr(10), "
+    "'        if i and b:', chr(10), '            b = b + 1  # step', chr(10), "
+    "'    return [x for x in b]', chr(10))"
+)
+MODULE_TAIL = (
+    "CASE doc_id % 7 WHEN 0 THEN 'eval(result)' "
+    "WHEN 1 THEN 'x = client.chat.completions.create(model, temperature=1)' "
+    "WHEN 2 THEN concat('try:', chr(10), '    x = client.chat.completions.create(m)', chr(10), "
+    "'except ValueError:', chr(10), '    pass') "
+    "WHEN 3 THEN 'p = f\"hi {user_name}\"' "
+    "WHEN 4 THEN '\"{}\".format(value)' "
+    "WHEN 5 THEN 'openai.api_key = \"abc\"' ELSE 'class Box: pass' END"
+)
+MODULE_COLUMNS = {
+    **FILE_COLUMNS,
+    "file_path": "concat(source, '/src/m', doc_id, '.py')",
+    "content": (
+        f"concat('import os', chr(10), 'from pkg import thing', chr(10), "
+        f"repeat({MODULE_BLOCK}, CAST(doc_id % 3 AS INT)), {MODULE_TAIL}, chr(10), '# ', "
+        "replace(text, chr(10), concat(chr(10), '# ')))"
+    ),
+}
+
+
+def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare(_as_files(_select(_documents(spark, sf_dir), MODULE_COLUMNS)))
+
+
+# JavaScript lines for the two JavaScript rules.
+JS_TAIL = (
+    "CASE doc_id % 4 WHEN 0 THEN 'const p = base + userName;' "
+    "WHEN 1 THEN concat('const q = `ask $', '{req.body}`;') "
+    "WHEN 2 THEN 'const r = a + b;' ELSE concat('const s = `$', '{total}`;') END"
+)
+SCRIPT_COLUMNS = {
+    **FILE_COLUMNS,
+    "file_path": "concat(source, '/src/s', doc_id, '.ts')",
+    "content": f"concat({JS_TAIL}, chr(10), '// ', replace(text, chr(10), concat(chr(10), '// ')))",
+}
+
+
+def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare(_as_files(_select(_documents(spark, sf_dir), SCRIPT_COLUMNS)))
+
+
+# Model replies about documents: good, unknown severity, not a list, not JSON.
+REPLY_COLUMNS = {
+    "scan_id": "source",
+    "file_path": PATH,
+    "doc_id": "doc_id",
+    "reply": (
+        "CASE doc_id % 4 WHEN 0 THEN concat('[{\"line\": ', doc_id % 90 + 1, "
+        "', \"severity\": \"low\", \"category\": \"jailbreak_risk\", \"message\": \"m', doc_id, "
+        "'\", \"fix\": \"f\"}, {\"line\": 2}]') "
+        "WHEN 1 THEN '[{\"line\": 1, \"severity\": \"severe\"}]' "
+        "WHEN 2 THEN '{\"line\": 1}' ELSE 'no findings' END"
+    ),
+}
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return _select(documents, REPLY_COLUMNS)
+
+
+# Upload names of every kind.
+UPLOAD_COLUMNS = {
+    "doc_id": "doc_id",
+    "name": (
+        f"concat('Up', doc_id, CASE doc_id % 8 WHEN 0 THEN '.tar.gz' WHEN 1 THEN '.ZIP' "
+        f"WHEN 2 THEN '.7z' WHEN 3 THEN '.exe' WHEN 4 THEN '' ELSE {EXT} END)"
+    ),
+}
+
+NOTEBOOK_PATH = "concat(source, '/src/n', doc_id, '.ipynb')"
+
+
+def notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notebooks whose code cells hold the document once as a list of lines and
+    once as a string; every fifth is cut off and no valid JSON."""
+    documents = _documents(spark, sf_dir)
+    lines = F.split("text", "\n", -1)
+    with_breaks = F.transform(
+        lines, lambda x, i: F.when(i < F.size(lines) - 1, F.concat(x, F.lit("\n"))).otherwise(x)
+    )
+    as_list = F.to_json(with_breaks)
+    single = F.to_json(F.array("text"))
+    as_string = F.expr("substring(s, 2, length(s) - 2)")
+    body = documents.withColumn("l", as_list).withColumn("s", single).withColumn("s", as_string)
+    doc = F.concat(
+        F.lit('{"cells":[{"cell_type":"markdown","source":'), "s",
+        F.lit('},{"cell_type":"code","source":'), "l",
+        F.lit('},{"cell_type":"code","source":'), "s", F.lit('},{"cell_type":"code"}]'),
+        F.when(F.col("doc_id") % 5 != 0, F.lit("}")).otherwise(F.lit("")),
+    )
+    return _as_files(
+        body.select(
+            F.col("source").alias("scan_id"), F.expr(NOTEBOOK_PATH).alias("file_path"),
+            "doc_id", doc.alias("content"),
+        )
+    )
+
+
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One zip per document: the text, and a member that tries to escape."""
+    @F.pandas_udf("binary")
+    def zipped(texts: pd.Series) -> pd.Series:
+        import io
+        import zipfile
+
+        def pack(text: str) -> bytes:
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("src/main.py", text)
+                archive.writestr("../escape.py", "x = 1")
+            return buffer.getvalue()
+
+        return texts.map(pack)
+
+    return _documents(spark, sf_dir).select(
+        F.col("source").alias("scan_id"),
+        F.concat("source", F.lit("/a"), "doc_id", F.lit(".zip")).alias("file_path"),
+        zipped("text").alias("content"),
+    )
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One report per event user, stamped with the user's last event."""
+    return scan_events(spark, sf_dir).groupBy("scan_id").agg(
+        F.max("ts").alias("generated_at"), F.count("*").alias("events")
+    )
