@@ -6,6 +6,9 @@ expressions evaluated where the file was read.
 
 from __future__ import annotations
 
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +22,24 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def built_once(fn):
+    """Builds the expression for a column once per driver process.
+
+    A large expression takes thousands of driver-to-JVM calls to assemble.  It
+    is immutable and names its input, so the same column can reuse it.
+    """
+    built: dict = {}
+
+    @wraps(fn)
+    def reuse(column: Column, *args) -> Column:
+        key = (id(SparkContext._gateway), str(column), *map(str, args))
+        if key not in built:
+            built[key] = fn(column, *args)
+        return built[key]
+
+    return reuse
+
+
 def moments(values: Column) -> Column:
     """``struct(n, s, ss)``: count, sum and sum of squares of an integer array."""
     zero = F.lit(0).cast("bigint")

@@ -7,6 +7,10 @@ those rules lives here so no operator spells them out again.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,6 +99,23 @@ def normalise(col: Column) -> Column:
     return F.translate(text, MARK, " ")
 
 
+# Characters that case-insensitive matching treats as the ASCII letter beside
+# them although lower-casing does not.
+FOLDED = {"ſ": "s", "İ": "i", "ı": "i", "K": "k"}
+
+
+def fold_case(col: Column) -> Column:
+    """Lower case such that an ASCII literal is contained exactly when the
+    original contains it under case-insensitive matching."""
+    for char, letter in FOLDED.items():
+        col = F.replace(col, F.lit(char), F.lit(letter))
+    return F.lower(col)
+
+
+def contains_any(col: Column, literals: Iterable[str]) -> Column:
+    return reduce(or_, [col.contains(x) for x in literals])
+
+
 def text_or_empty(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 

@@ -52,6 +52,18 @@ FUNCTION_HINT = (
     rf"(?:def |function |async function |const [{WORD}]+ = (?:async )?\(|"
     rf"(?:public|private|protected)[{WS}]+[{WORD}]+[{WS}]*\()"
 )
+# What must be in the case-folded text for a boilerplate pattern to match, and
+# whether that already settles it.
+BOILERPLATE_LITERALS = [
+    (["catch"], False),
+    (["null"], False),
+    (["console.log", "print", "logger"], True),
+    (["todo:", "fixme:", "hack:", "note:"], True),
+    (["@param", "@return", "@throws"], True),
+    (["args:", "returns:", "raises:"], True),
+    (["export", "module.exports"], False),
+]
+FUNCTION_LITERALS = ["def ", "function ", "const ", "public", "private", "protected"]
 COMMON_KEYWORDS = [
     "if", "else", "for", "while", "return", "function", "class", "def", "var", "let", "const",
     "new", "this", "self", "import", "from", "export", "default", "true", "false", "null",
@@ -64,12 +76,15 @@ COMMON_KEYWORDS = [
 
 
 def _steps(value: Column, bounds: list[tuple[float, float]], otherwise: float, *, below: bool):
-    """First matching score of a threshold ladder."""
-    ladder = None
-    for bound, score in bounds:
-        hit = value < bound if below else value > bound
-        ladder = F.when(hit, score) if ladder is None else ladder.when(hit, score)
-    return ladder.otherwise(otherwise)
+    """First matching score of a threshold ladder; the value is computed once."""
+
+    def ladder(v: Column) -> Column:
+        out = F.lit(otherwise)
+        for bound, score in reversed(bounds):
+            out = F.when(v < bound if below else v > bound, score).otherwise(out)
+        return out
+
+    return arrays.let(value, ladder)
 
 
 def _uniformity(solid: Column, lengths: Column) -> Column:
@@ -83,9 +98,8 @@ def _uniformity(solid: Column, lengths: Column) -> Column:
 
 def _comment_pattern(lines: Column) -> Column:
     total = F.size(lines)
-
-    def counted(pattern: str, **flags: bool) -> Column:
-        return arrays.count_where(lines, lambda x: text.matches(x, pattern, **flags))
+    # Every pattern below needs one of these characters.
+    remarks = F.filter(lines, lambda x: text.contains_any(x, ["#", "/", "*"]))
 
     def score(c: Column) -> Column:
         share = c["comments"] / F.greatest(total, F.lit(1))
@@ -113,18 +127,27 @@ def _comment_pattern(lines: Column) -> Column:
         )
         return F.when(fired > 0, F.least(F.lit(1.0), points / fired)).otherwise(0.3)
 
-    counts = F.struct(
-        counted(DIVIDER).alias("dividers"),
-        counted(STEP, ignore_case=True).alias("steps"),
-        counted(COMMENT_START).alias("comments"),
-        counted(DESCRIPTIVE, ignore_case=True).alias("described"),
-    )
-    return arrays.let(counts, score)
+    def counts(found: Column) -> Column:
+        def counted(pattern: str, **flags: bool) -> Column:
+            return arrays.count_where(found, lambda x: text.matches(x, pattern, **flags))
+
+        return F.struct(
+            counted(DIVIDER).alias("dividers"),
+            counted(STEP, ignore_case=True).alias("steps"),
+            counted(COMMENT_START).alias("comments"),
+            counted(DESCRIPTIVE, ignore_case=True).alias("described"),
+        )
+
+    return arrays.let(arrays.let(remarks, counts), score)
 
 
 def _naming(words: Column) -> Column:
+    # A word run is an identifier when it is ASCII, longer than one character
+    # and does not start with a digit.
     names = F.filter(
-        words, lambda w: F.rlike(w, F.lit(IDENTIFIER)) & ~w.isin(COMMON_KEYWORDS)
+        words,
+        lambda w: (F.length(w) > 1) & (F.octet_length(w) == F.length(w)) & (F.ascii(w) > 57)
+        & ~w.isin(COMMON_KEYWORDS),
     )
 
     def score(ids: Column) -> Column:
@@ -132,7 +155,7 @@ def _naming(words: Column) -> Column:
         average = arrays.mean(arrays.moments(F.transform(ids, F.length)))
         short = arrays.count_where(ids, lambda w: F.length(w) <= 2) / n
         snake = arrays.count_where(ids, lambda w: w.contains("_") & (w == F.lower(w))) / n
-        camel = arrays.count_where(ids, lambda w: F.rlike(w, F.lit(CAMEL))) / n
+        camel = arrays.count_where(ids, lambda w: _is_camel(w)) / n
         points = (
             _steps(average, [(10, 0.7), (7, 0.5), (5, 0.3)], 0.0, below=False)
             + _steps(short, [(0.05, 0.6), (0.15, 0.3)], 0.0, below=True)
@@ -143,10 +166,20 @@ def _naming(words: Column) -> Column:
     return arrays.let(names, score)
 
 
+def _is_camel(word: Column) -> Column:
+    return F.ascii(word).between(97, 122) & (word != F.lower(word)) & F.rlike(word, F.lit(CAMEL))
+
+
+@arrays.built_once
 def char_entropy(code: Column) -> Column:
-    """Shannon entropy over code points."""
-    points = F.transform(text.characters_of(code), F.ascii)
-    return arrays.symbol_entropy(points)
+    """Shannon entropy over code points.
+
+    Sorting groups equal characters; one regex then cuts the runs, so only
+    distinct characters are visited one by one.
+    """
+    ordered = F.array_join(F.sort_array(text.characters_of(code)), "")
+    runs = F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1*"), F.lit(0))
+    return arrays.entropy_of_counts(F.transform(runs, F.length), F.length(code))
 
 
 def _entropy(code: Column, words: Column) -> Column:
@@ -159,10 +192,7 @@ def _entropy(code: Column, words: Column) -> Column:
     level = char_entropy(code)
     points = (
         _steps(distinct, [(0.30, 0.7), (0.45, 0.5), (0.55, 0.3)], 0.0, below=True)
-        + arrays.let(
-            repeated,
-            lambda r: _steps(r, [(0.5, 0.6), (0.3, 0.4), (0.15, 0.2)], 0.0, below=False),
-        )
+        + _steps(repeated, [(0.5, 0.6), (0.3, 0.4), (0.15, 0.2)], 0.0, below=False)
         + arrays.let(level, lambda e: F.when((e > 3.5) & (e < 5.0), 0.3).otherwise(0.0))
     )
     return F.when((F.length(code) < 100) | (n == 0), 0.5).otherwise(
@@ -186,9 +216,10 @@ def _structure(lines: Column, solid: Column) -> Column:
     )
 
     def score(m: Column) -> Column:
-        gap_std = arrays.sample_std(m["gaps"])
         # Two gaps or more mean at least three blank lines.
-        regular = F.when(m["gaps"]["n"] >= 2, 1.0 / (1.0 + gap_std)).otherwise(0.5)
+        regular = F.when(
+            m["gaps"]["n"] >= 2, 1.0 / (1.0 + arrays.sample_std(m["gaps"]))
+        ).otherwise(0.5)
         indent_std = arrays.sample_std(m["indents"])
         points = _steps(regular, [(0.3, 0.5), (0.15, 0.3)], 0.0, below=False) + (
             F.when((indent_std < 3.0) & (arrays.mean(m["indents"]) > 1.0), 0.5)
@@ -204,26 +235,37 @@ def _structure(lines: Column, solid: Column) -> Column:
 
 
 def _boilerplate(code: Column) -> Column:
-    hits = sum(
-        (text.matches(code, p, ignore_case=True).cast("int") for p in BOILERPLATE), F.lit(0)
-    )
-    return arrays.let(
-        hits / len(BOILERPLATE),
-        lambda share: _steps(share, [(0.5, 0.7), (0.3, 0.5), (0.15, 0.35)], 0.2, below=False),
-    )
+    def hits(folded: Column) -> Column:
+        found = F.lit(0)
+        for pattern, (literals, settled) in zip(BOILERPLATE, BOILERPLATE_LITERALS, strict=True):
+            hit = text.contains_any(folded, literals)
+            if not settled:
+                hit = hit & text.matches(code, pattern, ignore_case=True)
+            found = found + hit.cast("int")
+        return found
+
+    share = arrays.let(text.fold_case(code), hits) / len(BOILERPLATE)
+    return _steps(share, [(0.5, 0.7), (0.3, 0.5), (0.15, 0.35)], 0.2, below=False)
 
 
 def _documentation(code: Column, line_count: Column) -> Column:
     quotes = text.count_literal(code, '"""') + text.count_literal(code, "'''")
     blocks = F.floor(quotes / 2) + text.count_literal(code, "/**")
-    per_function = blocks / F.greatest(text.count_matches(code, FUNCTION_HINT), F.lit(1))
-    hints = text.count_matches(code, TYPE_ANNOTATION) / F.greatest(line_count, F.lit(1))
-    points = arrays.let(
-        per_function, lambda r: _steps(r, [(0.8, 0.7), (0.4, 0.4)], 0.0, below=False)
-    ) + arrays.let(hints, lambda r: _steps(r, [(0.05, 0.5), (0.02, 0.3)], 0.0, below=False))
+    functions = F.when(
+        text.contains_any(code, FUNCTION_LITERALS), text.count_matches(code, FUNCTION_HINT)
+    ).otherwise(0)
+    annotations = F.when(
+        code.contains(":"), text.count_matches(code, TYPE_ANNOTATION)
+    ).otherwise(0)
+    per_function = blocks / F.greatest(functions, F.lit(1))
+    hints = annotations / F.greatest(line_count, F.lit(1))
+    points = _steps(per_function, [(0.8, 0.7), (0.4, 0.4)], 0.0, below=False) + _steps(
+        hints, [(0.05, 0.5), (0.02, 0.3)], 0.0, below=False
+    )
     return F.least(F.lit(1.0), points / 1.2)
 
 
+@arrays.built_once
 def signals(code: Column) -> Column:
     """The seven signals of one text as a struct of doubles."""
 
@@ -266,5 +308,6 @@ def heuristic_score(files: DataFrame, column: str = "code") -> DataFrame:
     """Adds ``signals`` and ``ai_probability`` (0.5 for blank text)."""
     scored = heuristic_signals(files, column)
     return scored.withColumn(
-        "ai_probability", F.coalesce(mix(F.col("signals")), F.lit(0.5))
+        "ai_probability",
+        F.when(F.col("signals").isNotNull(), mix(F.col("signals"))).otherwise(0.5),
     )

@@ -9,17 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import text
+from ..functions import arrays, text
 from ..functions.text import WS
 from .symbols import KEY
 
 # ---------------------------------------------------------------------------
-# Rule ids, patterns, categories and severities
+# Rule ids, patterns, categories and severities.  ``any_of`` are
+# literals of which a matching text must contain one; it only saves work.
 # ---------------------------------------------------------------------------
 
 LINE_RULES = [
     {
         "rule_id": "prompt-injection-concat",
+        "any_of": ["user", "input", "query", "prompt", "message"],
         "pattern": r"(?:f['\"]|\.format\(|%[" + WS + r"]*\().*(?:user|input|query|prompt|message)",
         "category": "prompt_injection",
         "severity": "high",
@@ -28,6 +30,7 @@ LINE_RULES = [
     },
     {
         "rule_id": "hardcoded-api-key",
+        "any_of": ["key", "secret", "token", "password"],
         "pattern": (
             r"(?:api[_-]?key|secret|token|password)[" + WS + r"]*[=:][" + WS + r"]*"
             r"['\"][A-Za-z0-9+/=_-]{20,}['\"]"
@@ -39,6 +42,7 @@ LINE_RULES = [
     },
     {
         "rule_id": "unvalidated-llm-response",
+        "any_of": [".execute", "eval", "exec"],
         "pattern": (
             r"(?:\.execute|eval|exec)[" + WS + r"]*\([" + WS + r"]*"
             r"(?:response|result|output|completion)"
@@ -50,6 +54,7 @@ LINE_RULES = [
     },
     {
         "rule_id": "missing-llm-error-handling",
+        "any_of": ["openai", "anthropic", "azure"],
         "pattern": r"(?:openai|anthropic|azure).*(?:create|complete|chat)[" + WS + r"]*\(",
         "category": "missing_error_handling",
         "severity": "medium",
@@ -58,6 +63,7 @@ LINE_RULES = [
     },
     {
         "rule_id": "insecure-llm-temperature",
+        "any_of": ["temperature"],
         "pattern": r"temperature[" + WS + r"]*[=:][" + WS + r"]*(?:1\.0|1|2)",
         "category": "insecure_llm_call",
         "severity": "low",
@@ -91,18 +97,44 @@ def finding_array(content: Column, rules: list[dict] = LINE_RULES) -> Column:
     """Findings of one text as an array, in line order.
 
     A line that matches makes its whole text match, so a text without any
-    match is settled by one search per rule and its lines are never split.
+    match is settled by a literal search, or one pattern search, per rule and
+    its lines are never split.
     """
+    return _built(content, repr(rules)) if rules is LINE_RULES else _findings(content, rules)
 
-    def of_line(line: Column, i: Column) -> Column:
-        return F.filter(
-            F.array(*[F.when(hits(line, r["pattern"]), finding(r, i + 1, line)) for r in rules]),
-            lambda f: f.isNotNull(),
-        )
 
-    found = F.flatten(F.transform(text.lines_of(content), of_line))
-    suspicious = reduce(or_, [hits(content, r["pattern"]) for r in rules])
-    return F.when(suspicious, found).otherwise(F.array()).cast(FINDING_ARRAY)
+@arrays.built_once
+def _built(content: Column, _rules_key: str) -> Column:
+    return _findings(content, LINE_RULES)
+
+
+def _findings(content: Column, rules: list[dict]) -> Column:
+
+    names = [f"r{k}" for k in range(len(rules))]
+
+    def in_text(folded: Column) -> Column:
+        tests = []
+        for name, r in zip(names, rules, strict=True):
+            test = hits(content, r["pattern"])
+            literals = r.get("any_of")
+            test = text.contains_any(folded, literals) & test if literals else test
+            tests.append(test.alias(name))
+        return F.struct(*tests)
+
+    def in_lines(present: Column) -> Column:
+        # Only the rules that match the text are tried on its lines.
+        def of_line(line: Column, i: Column) -> Column:
+            made = [
+                F.when(present[name] & hits(line, r["pattern"]), finding(r, i + 1, line))
+                for name, r in zip(names, rules, strict=True)
+            ]
+            return F.filter(F.array(*made), lambda f: f.isNotNull())
+
+        found = F.flatten(F.transform(text.lines_of(content), of_line))
+        return F.when(reduce(or_, [present[name] for name in names]), found)
+
+    found = arrays.let(arrays.let(text.fold_case(content), in_text), in_lines)
+    return F.coalesce(found.cast(FINDING_ARRAY), F.array().cast(FINDING_ARRAY))
 
 
 def scan_rules(files: DataFrame, rules: list[dict] = LINE_RULES) -> DataFrame:

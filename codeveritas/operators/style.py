@@ -56,6 +56,7 @@ def feature_dictionary(spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, position int, reference_slot int")
 
 
+@arrays.built_once
 def line_features(code: Column) -> Column:
     """Lengths, indentation, blank and trailing-space shares, comments."""
 
@@ -108,6 +109,7 @@ def has_inline_comment(line: Column) -> Column:
     return line.contains("#") & ~F.rlike(line, F.lit(rf"^[{WS}]*#")) & unquoted.contains("#")
 
 
+@arrays.built_once
 def token_features(tokens: Column) -> Column:
     def over(t: Column) -> Column:
         texts, ops = t["texts"], t["ops"]
@@ -197,6 +199,7 @@ def _identifier_features(names: Column) -> Column:
     )
 
 
+@arrays.built_once
 def node_features(nodes: Column) -> Column:
     """Shape, complexity and naming from the node list; zeros when empty."""
     count = F.size(nodes)

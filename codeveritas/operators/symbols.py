@@ -216,6 +216,7 @@ def js_import_array(code: Column) -> Column:
     ).cast(IMPORT_TYPE)
 
 
+@arrays.built_once
 def import_array(code: Column) -> Column:
     """Imports of one file as an array; empty for other languages."""
     return (

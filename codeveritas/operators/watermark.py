@@ -111,6 +111,7 @@ def embed_codebase(
     return written.groupBy("scan_id").agg(F.count("*").alias("files_marked"))
 
 
+@arrays.built_once
 def extracted_payload(content: Column, bits: int = DEFAULT_BITS) -> Column:
     """The payload of a text, or null when fewer than ``bits`` lines carry a bit."""
 
