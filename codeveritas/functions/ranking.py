@@ -7,6 +7,7 @@ are summed in order, and the fine order is settled inside each bucket.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,20 +41,33 @@ def rank_by_hash(df: DataFrame, hash_column: str, rank: str, within: list[str] |
     )
 
 
+def ordered_buckets(df: DataFrame, order: Column, bucket: str, buckets: int = 1024) -> DataFrame:
+    """Adds ``bucket``, a number that grows with ``order``.
+
+    Bounds are approximate quantiles of the whole table (a fixed-size array on
+    the driver), so no bucket is large however the values are distributed;
+    only equal values always share one.  The lookup is a binary search.
+    """
+    steps = [i / buckets for i in range(1, buckets)]
+    keyed = df.withColumn("_order", order.cast("double"))
+    bounds = keyed.agg(F.percentile_approx("_order", F.lit(steps), F.lit(10000)).alias("b"))
+    cuts = sorted(set(bounds.first().b or [])) or [0.0]
+    splits = [float("-inf"), *cuts, float("inf")]
+    return (
+        Bucketizer(splits=splits, inputCol="_order", outputCol=bucket, handleInvalid="keep")
+        .transform(keyed)
+        .drop("_order")
+    )
+
+
 def running_totals(
     df: DataFrame, order: str, values: list[str], within: list[str], buckets: int = 1024
 ) -> DataFrame:
     """Adds ``<value>_before``: the total of all rows with a smaller ``order``.
 
-    ``order`` must be unique within a group (aggregate ties first).  Bucket
-    bounds are approximate quantiles of ``order``, a fixed-size array, so the
-    buckets are even however the values are distributed.
+    ``order`` must be unique within a group (aggregate ties first).
     """
-    step = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(order, F.lit(step), F.lit(10000)).alias("b")).first().b
-    cuts = F.lit(sorted(set(bounds or [])) or [0.0]).cast("array<double>")
-    # Position of the first cut >= value.
-    bucketed = df.withColumn("_bucket", _bisect(cuts, F.col(order).cast("double")))
+    bucketed = ordered_buckets(df, F.col(order), "_bucket", buckets)
     sums = bucketed.groupBy(*within, "_bucket").agg(
         *[F.sum(v).alias(f"_{v}") for v in values]
     )
@@ -73,7 +87,3 @@ def running_totals(
     return placed.withColumns(totals).drop(
         "_bucket", *[f"_{v}" for v in values], *[f"_in_{v}" for v in values]
     )
-
-
-def _bisect(cuts: Column, value: Column) -> Column:
-    return F.size(F.filter(cuts, lambda c: c < value))

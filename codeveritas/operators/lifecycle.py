@@ -12,11 +12,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.ranking import ordered_buckets
 
 # 300 polls of 2 s, and errors in a row that end polling.
 STALL_SECONDS = 600
 ERROR_RUN = 5
 
+SLICES = 1024
+
 
 def progress_of(status: Column) -> Column:
     """Progress of a stage in percent; null for failed or unknown stages."""
@@ -41,25 +44,26 @@ def latest_status(events: DataFrame) -> DataFrame:
     )
 
 
-def _sliced(events: DataFrame, slice_unit: str) -> DataFrame:
-    return events.withColumn("_slice", F.date_trunc(slice_unit, "ts"))
+def _sliced(events: DataFrame, slices: int) -> DataFrame:
+    # Slices hold equal shares of all events, so a burst is cut up as well.
+    return ordered_buckets(events, F.unix_micros("ts"), "_slice", slices)
 
 
-def stage_durations(events: DataFrame, slice_unit: str = "hour") -> DataFrame:
+def stage_durations(events: DataFrame, slices: int = SLICES) -> DataFrame:
     """Seconds until the scan's next event, for every event that has one.
 
     Inside a slice the next event is a ``lead``; the last event of a slice
     takes the first timestamp of the scan's next slice.
     """
-    sliced = _sliced(events, slice_unit)
+    sliced = _sliced(events, slices)
     in_slice = W.partitionBy("scan_id", "_slice").orderBy("ts", "event_id")
     first_of_next = F.lead("_first").over(W.partitionBy("scan_id").orderBy("_slice"))
-    slices = (
+    starts = (
         sliced.groupBy("scan_id", "_slice").agg(F.min("ts").alias("_first"))
         .select("scan_id", "_slice", first_of_next.alias("_next_slice"))
     )
     ends = sliced.withColumn("_next", F.lead("ts").over(in_slice)).join(
-        slices, ["scan_id", "_slice"]
+        starts, ["scan_id", "_slice"]
     )
     following = F.coalesce("_next", "_next_slice")
     seconds = (F.unix_micros(following) - F.unix_micros("ts")) / 1e6
@@ -71,13 +75,14 @@ def stage_durations(events: DataFrame, slice_unit: str = "hour") -> DataFrame:
     )
 
 
-def longest_error_runs(events: DataFrame, slice_unit: str = "hour") -> DataFrame:
+def longest_error_runs(events: DataFrame, slices: int = SLICES) -> DataFrame:
     """Longest run of consecutive failures per scan.
 
     A slice is summarised by its size and its leading, trailing and longest
-    run; summaries are then folded in time order.
+    run; the scan's summaries, at most one per slice, are then folded in time
+    order.
     """
-    sliced = _sliced(events, slice_unit).withColumn(
+    sliced = _sliced(events, slices).withColumn(
         "_bad", (F.col("status") == "failed").cast("int")
     )
     order = W.partitionBy("scan_id", "_slice").orderBy("ts", "event_id")

@@ -22,6 +22,7 @@ from ..session import write_and_read
 from . import style
 
 SEED = 42
+BROADCAST_GROUPS = 200_000
 
 
 # ---------------------------------------------------------------------------
@@ -78,6 +79,9 @@ def group_split(samples: DataFrame, test: float = 0.2, seed: int = SEED) -> Data
         rank_by_hash(groups, "_h", "_rank").where(F.col("_rank") <= cutoff).select("problem_id")
     )
     marked = test_groups.withColumn("is_test", F.lit(True))
+    if cutoff <= BROADCAST_GROUPS:
+        # The size is known, and samples carry text that should not move.
+        marked = F.broadcast(marked)
     return samples.join(marked, "problem_id", "left").withColumn(
         "is_test", F.coalesce("is_test", F.lit(False))
     )

@@ -146,6 +146,7 @@ def trust_report(tables: ScanTables, generated_at: Column | None = None) -> Data
 
 
 REPORT_PART_ROWS = 1000
+SALTS = 16
 
 
 def report_parts(
@@ -155,16 +156,21 @@ def report_parts(
 
     One array per scan would put a huge scan into one row.  The number of
     parts follows the scan's row count and rows are dealt by hash, so every
-    row is kept and no group grows with the scan.
+    row is kept and no group grows with the scan.  The part count of a scan is
+    joined back salted, as one scan may hold a third of the rows.
     """
-    sized = rows.groupBy("scan_id").agg(
-        F.ceil(F.count("*") / per_part).cast("int").alias("parts")
+    sized = (
+        rows.groupBy("scan_id")
+        .agg(F.ceil(F.count("*") / per_part).cast("int").alias("parts"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    part = F.pmod(F.xxhash64(*order), F.col("parts")).cast("int")
+    spot = F.xxhash64(*order)
+    part = F.pmod(spot, F.col("parts")).cast("int")
     columns = [c for c in rows.columns if c != "scan_id"]
     ordered = [F.col(c) for c in order] + [F.col(c) for c in columns if c not in order]
     return (
-        rows.join(sized, "scan_id")
+        rows.withColumn("salt", F.pmod(F.shiftright(spot, 32), F.lit(SALTS)).cast("int"))
+        .join(sized, ["scan_id", "salt"])
         .groupBy("scan_id", part.alias("part"))
         .agg(F.to_json(F.array_sort(F.collect_list(F.struct(*ordered)))).alias("items"))
         .select("scan_id", F.lit(section).alias("section"), "part", "items")

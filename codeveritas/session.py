@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.aggregatePushdown": "true",
+    # Records the Python line of every column; costs seconds on large expressions.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
