@@ -129,15 +129,17 @@ def extension_of(path: Column) -> Column:
     return F.lower(F.regexp_extract(base_name(path), r"(?s)^.+(\.[^.]+)$", 1))
 
 
-def match_lines(col: Column, pattern: str, **flags: bool) -> Column:
+def match_lines(
+    col: Column, pattern: str, *, at_match_start: bool = False, **flags: bool
+) -> Column:
     """1-based line number of every match, in match order.
 
-    A pattern whose first group is leading whitespace puts the mark after it,
-    so a match that starts on a blank line reports the line of its keyword.
+    The pattern's first group is its leading whitespace and the second its
+    rest.  The number is the keyword's line; with ``at_match_start`` it is the
+    line where the whitespace begins, which may be a blank line further up.
     """
-    marked = F.regexp_replace(
-        col, java_regex(pattern, **flags), f"$1{MARK}$2" if pattern.startswith("(") else f"{MARK}$0"
-    )
+    mark = f"{MARK}$0" if at_match_start else f"$1{MARK}$2"
+    marked = F.regexp_replace(col, java_regex(pattern, **flags), mark)
     per_line = F.transform(
         lines_of(marked),
         lambda line, i: F.array_repeat(i + 1, F.size(F.split(line, MARK, -1)) - 1),

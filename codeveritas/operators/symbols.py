@@ -126,9 +126,10 @@ def function_total(code: Column) -> Column:
     )
 
 
-def _groups(code: Column, pattern: str, *groups: int) -> Column:
+def _groups(code: Column, pattern: str, *groups: int, at_match_start: bool = False) -> Column:
     """Aligned arrays (line number, captured groups) of all matches, zipped."""
-    parts = [text.match_lines(code, pattern, multiline=True).alias("line_no")]
+    lines = text.match_lines(code, pattern, at_match_start=at_match_start, multiline=True)
+    parts = [lines.alias("line_no")]
     for k in groups:
         parts.append(text.match_groups(code, pattern, k, multiline=True).alias(f"g{k}"))
     return F.arrays_zip(*parts)
@@ -139,10 +140,10 @@ def _parameter_count(params: Column) -> Column:
     return F.size(named)
 
 
-def python_functions(files: DataFrame) -> DataFrame:
+def python_functions(files: DataFrame, at_match_start: bool = False) -> DataFrame:
     """Functions of Python files with line and parameter count."""
     found = files.where(is_python()).select(
-        *KEY, F.inline(_groups(F.col("code"), PY_FUNCTION, 3, 4))
+        *KEY, F.inline(_groups(F.col("code"), PY_FUNCTION, 3, 4, at_match_start=at_match_start))
     )
     return found.select(
         *KEY,
@@ -195,7 +196,9 @@ def _plain_names(names: Column) -> Column:
     return F.filter(stripped, lambda n: n != "")
 
 
-def python_import_array(code: Column, accept_parenthesised: bool = False) -> Column:
+def python_import_array(
+    code: Column, accept_parenthesised: bool = False, at_match_start: bool = False
+) -> Column:
     pattern = PY_FROM_ANY if accept_parenthesised else PY_IMPORT
 
     def rows(m: Column) -> Column:
@@ -206,7 +209,8 @@ def python_import_array(code: Column, accept_parenthesised: bool = False) -> Col
         )
         return F.when(m["g3"] != "", from_row).otherwise(plain)
 
-    return F.flatten(F.transform(_groups(code, pattern, 3, 4), rows)).cast(IMPORT_TYPE)
+    found = _groups(code, pattern, 3, 4, at_match_start=at_match_start)
+    return F.flatten(F.transform(found, rows)).cast(IMPORT_TYPE)
 
 
 def js_import_array(code: Column) -> Column:
@@ -232,10 +236,17 @@ def _import_rows(files: DataFrame, imports: Column) -> DataFrame:
     )
 
 
-def python_imports(files: DataFrame, accept_parenthesised: bool = False) -> DataFrame:
-    return _import_rows(
-        files.where(is_python()), python_import_array(F.col("code"), accept_parenthesised)
-    )
+def python_imports(
+    files: DataFrame, accept_parenthesised: bool = False, at_match_start: bool = False
+) -> DataFrame:
+    """Imports of Python files.
+
+    ``accept_parenthesised`` also sees ``from m import (`` and ``*`` and skips
+    relative modules; ``at_match_start`` numbers lines from the blank lines
+    before an import.
+    """
+    found = python_import_array(F.col("code"), accept_parenthesised, at_match_start)
+    return _import_rows(files.where(is_python()), found)
 
 
 def js_imports(files: DataFrame) -> DataFrame:

@@ -157,7 +157,7 @@ _NOW = "2024-01-30 23:00:00"
 @query("expire_reports", with_(o.EVENTS) + " SELECT scan_id, epoch_us(max(ts)) AS generated_us "
        f"FROM scan_events GROUP BY 1 HAVING max(ts) > TIMESTAMP '{_NOW}' - INTERVAL 6 HOUR")
 def _(spark, sf):
-    live = reports.expire_reports(views.reports(spark, sf), _NOW, 6 * 3600)
+    live = reports.expire_reports(views.reports(spark, sf), f"{_NOW}Z", 6 * 3600)
     return live.select("scan_id", F.unix_micros("generated_at").alias("generated_us"))
 
 

@@ -69,7 +69,7 @@ def _(spark, sf):
        "AS timed_out, error_run >= 5 AS too_many_errors, error_run FROM latest JOIN runs "
        "USING (scan_id)) WHERE timed_out OR too_many_errors")
 def _(spark, sf):
-    return lifecycle.stalled_scans(views.scan_events(spark, sf), _NOW)
+    return lifecycle.stalled_scans(views.scan_events(spark, sf), f"{_NOW}Z")
 
 
 @query("finding_rate", with_(o.EVENTS) + " SELECT epoch(date_trunc('day', ts))::BIGINT "
@@ -86,9 +86,7 @@ def _(spark, sf):
 def _event_stream(spark, sf):
     schema = views.table(spark, sf, "events").schema
     events = jobs.read_table_stream(spark, sf, schema, "events.parquet")
-    return views._select(events, views.EVENT_COLUMNS).withColumn(
-        "ts", F.col("ts").cast("timestamp")
-    )
+    return views.with_utc_time(views._select(events, views.EVENT_COLUMNS))
 
 
 def _run(spark, start, name):

@@ -150,8 +150,13 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _select(table(spark, sf_dir, "events"), EVENT_COLUMNS)
-    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return with_utc_time(_select(table(spark, sf_dir, "events"), EVENT_COLUMNS))
+
+
+def with_utc_time(events: DataFrame) -> DataFrame:
+    """The zone-less ``ts`` read as UTC, whatever the session's zone is."""
+    local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts"))
+    return events.withColumn("ts", local.cast("timestamp"))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

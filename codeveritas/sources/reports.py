@@ -11,9 +11,10 @@ from .. import schemas
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """One row per scan, partitioned by day so a lookup reads one folder."""
+    """One row per scan, partitioned by UTC day so a lookup reads one folder."""
+    utc_day = F.to_date(F.to_utc_timestamp("generated_at", F.current_timezone()))
     (
-        reports.withColumn("generated_date", F.to_date("generated_at"))
+        reports.withColumn("generated_date", utc_day)
         .write.mode("append")
         .partitionBy("generated_date")
         .parquet(path)

@@ -53,6 +53,8 @@ def test_parenthesised_imports_only_in_the_wider_form(make_files):
 def test_import_after_blank_lines_reports_its_own_line(make_files):
     df = make_files(("m.py", "x = 1\n\n\nimport yaml\n"))
     assert rows(symbols.python_imports(df), "line_no", "module") == [(4, "yaml")]
+    loose = symbols.python_imports(df, at_match_start=True)
+    assert rows(loose, "line_no", "module") == [(2, "yaml")]
 
 
 def test_multiline_parameters(make_files):
