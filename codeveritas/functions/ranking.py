@@ -41,16 +41,24 @@ def rank_by_hash(df: DataFrame, hash_column: str, rank: str, within: list[str] |
     )
 
 
-def ordered_buckets(df: DataFrame, order: Column, bucket: str, buckets: int = 1024) -> DataFrame:
+def bucket_count(df: DataFrame) -> int:
+    """Two buckets per shuffle partition, so buckets shrink as clusters grow."""
+    return max(256, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def ordered_buckets(
+    df: DataFrame, order: Column, bucket: str, buckets: int | None = None
+) -> DataFrame:
     """Adds ``bucket``, a number that grows with ``order``.
 
-    Bounds are approximate quantiles of the whole table (a fixed-size array on
-    the driver), so no bucket is large however the values are distributed;
+    Bounds are approximate quantiles of the whole table (an array of ``buckets``
+    numbers on the driver), so no bucket is large however the values are distributed;
     only equal values always share one.  The lookup is a binary search.
     """
+    buckets = buckets or bucket_count(df)
     steps = [i / buckets for i in range(1, buckets)]
     keyed = df.withColumn("_order", order.cast("double"))
-    bounds = keyed.agg(F.percentile_approx("_order", F.lit(steps), F.lit(10000)).alias("b"))
+    bounds = keyed.agg(F.percentile_approx("_order", F.lit(steps), F.lit(4 * buckets)).alias("b"))
     cuts = sorted(set(bounds.first().b or [])) or [0.0]
     splits = [float("-inf"), *cuts, float("inf")]
     return (
@@ -61,7 +69,8 @@ def ordered_buckets(df: DataFrame, order: Column, bucket: str, buckets: int = 10
 
 
 def running_totals(
-    df: DataFrame, order: str, values: list[str], within: list[str], buckets: int = 1024
+    df: DataFrame, order: str, values: list[str], within: list[str],
+    buckets: int | None = None,
 ) -> DataFrame:
     """Adds ``<value>_before``: the total of all rows with a smaller ``order``.
 

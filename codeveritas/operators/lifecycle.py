@@ -18,8 +18,6 @@ from ..functions.ranking import ordered_buckets
 STALL_SECONDS = 600
 ERROR_RUN = 5
 
-SLICES = 1024
-
 
 def progress_of(status: Column) -> Column:
     """Progress of a stage in percent; null for failed or unknown stages."""
@@ -44,12 +42,12 @@ def latest_status(events: DataFrame) -> DataFrame:
     )
 
 
-def _sliced(events: DataFrame, slices: int) -> DataFrame:
+def _sliced(events: DataFrame, slices: int | None) -> DataFrame:
     # Slices hold equal shares of all events, so a burst is cut up as well.
     return ordered_buckets(events, F.unix_micros("ts"), "_slice", slices)
 
 
-def stage_durations(events: DataFrame, slices: int = SLICES) -> DataFrame:
+def stage_durations(events: DataFrame, slices: int | None = None) -> DataFrame:
     """Seconds until the scan's next event, for every event that has one.
 
     Inside a slice the next event is a ``lead``; the last event of a slice
@@ -75,7 +73,7 @@ def stage_durations(events: DataFrame, slices: int = SLICES) -> DataFrame:
     )
 
 
-def longest_error_runs(events: DataFrame, slices: int = SLICES) -> DataFrame:
+def longest_error_runs(events: DataFrame, slices: int | None = None) -> DataFrame:
     """Longest run of consecutive failures per scan.
 
     A slice is summarised by its size and its leading, trailing and longest

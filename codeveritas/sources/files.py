@@ -13,18 +13,25 @@ from .. import schemas
 from ..functions import text
 
 
-def scan_files(spark: SparkSession, root: str, scan_id: str | None = None) -> DataFrame:
+def scan_files(
+    spark: SparkSession, root: str, scan_id: str | None = None, keep_empty: bool = True
+) -> DataFrame:
     """Every file below ``root`` with its bytes.
 
     ``file_path`` is relative to the scan root, so a root that itself lies
     below a skipped directory is not skipped.  Without ``scan_id`` the first
-    directory below the root names the scan.
+    directory below the root names the scan.  Spark's file source passes over
+    empty files; ``keep_empty`` adds them from its index, which holds every
+    file name on the driver anyway.  Very large corpora belong in a table.
     """
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .load(root)
+        .select("path", "length", "content")
     )
+    if keep_empty:
+        raw = raw.unionByName(_empty_files(spark, raw))
     root_uri = root.rstrip("/").removeprefix("file:")
     below = F.expr(f"substring(path, locate('{_sql_quote(root_uri)}/', path) + {len(root_uri) + 1})")
     scan = F.lit(scan_id) if scan_id is not None else F.split(below, "/")[0]
@@ -36,6 +43,22 @@ def scan_files(spark: SparkSession, root: str, scan_id: str | None = None) -> Da
     )
 
 
+def _empty_files(spark: SparkSession, raw: DataFrame) -> DataFrame:
+    """Indexed files without a row in the scan; no content is read for this."""
+    indexed = spark.createDataFrame([(uri,) for uri in raw.inputFiles()], "uri string")
+    plain = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
+    one_slash = F.regexp_replace(plain, r"^([A-Za-z0-9+.-]+):///", "$1:/")
+    return (
+        indexed.select(one_slash.alias("path"))
+        .join(raw.select("path"), "path", "left_anti")
+        .select(
+            "path",
+            F.lit(0).cast("bigint").alias("length"),
+            F.lit("").cast("binary").alias("content"),
+        )
+    )
+
+
 def _sql_quote(value: str) -> str:
     return value.replace("\\", "\\\\").replace("'", "\\'")
 

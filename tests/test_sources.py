@@ -21,15 +21,18 @@ def test_scan_files_filters_relative_to_root(spark, tmp_path):
         "r1/data.bin": b"0",
         "r2/App.JS": b"\xff1",
         "r2/empty.md": b"",
+        "r2/a b+c.md": b"",
     }.items():
         path = root / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(body)
     kept = files.prepare(files.scan_files(spark, str(root)))
     rows = {r.file_path: r for r in kept.collect()}
-    assert set(rows) == {"r1/main.py", "r1/limit.py", "r2/App.JS", "r2/empty.md"}
+    assert set(rows) == {"r1/main.py", "r1/limit.py", "r2/App.JS", "r2/empty.md",
+                         "r2/a b+c.md"}
     assert rows["r1/main.py"].content == "x = 1\ny = 2"
     assert rows["r1/main.py"].scan_id == "r1"
+    assert rows["r2/empty.md"].content == ""
     assert rows["r2/App.JS"].content == "\ufffd1"
     assert rows["r2/App.JS"].language == "javascript"
 
