@@ -109,7 +109,6 @@ def _built(content: Column, _rules_key: str) -> Column:
 
 
 def _findings(content: Column, rules: list[dict]) -> Column:
-
     names = [f"r{k}" for k in range(len(rules))]
 
     def in_text(folded: Column) -> Column:
