@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decontamination
-from . import mixing, warc
+from . import licences, mixing, warc
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,41 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(archive).select(
         F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+def _licence_sql() -> str:
+    """The scan as DuckDB SQL over the same fixed texts, spellings and patterns."""
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def spelled(words: str) -> str:
+        out = f"concat(' ', {words}, ' ')"
+        for other, form in licences.SPELLINGS:
+            out = f"replace({out}, ' {other} ', ' {form} ')"
+        return f"trim({out})"
+
+    def lines(text: str) -> str:
+        out = f"regexp_replace(lower(coalesce({text}, '')), '\r\n?', chr(10), 'g')"
+        out = f"regexp_replace(regexp_replace({out}, '\u00a9|\(c\)', ' copyright ', 'g'), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+        out = f"regexp_replace({out}, {quoted(licences.COPYRIGHT_LINE)}, '', 'g')"
+        return f"list_filter(list_transform(string_split({out}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+    known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted(licences.KNOWN.items()))
+    return f"""
+with named(licence, text) as (values {known}),
+known as (select min(licence) as licence, {spelled("array_to_string(" + lines("text") + ", ' ')")} as words from named group by words),
+texts as (select doc_id, {lines("text")} as l from documents),
+entire as (select doc_id, {spelled("array_to_string(l, ' ')")} as words from texts),
+parts as (select distinct doc_id, {spelled("x")} as words from (select doc_id, unnest(l) as x from texts)),
+noted as (select doc_id, list_sort(list(distinct licence)) as line_licences from parts join known using (words) group by doc_id)
+select e.doc_id, case when e.words <> '' then sha256(e.words) end as digest, k.licence, coalesce(array_to_string(line_licences, ','), '') as line_licences
+from entire e left join known k on e.words = k.words and e.words <> '' left join noted n on e.doc_id = n.doc_id
+"""
+
+
+@query("op9_licence_scan", _licence_sql())
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licences.scan_licences(docs, licences.known_licences(spark))
+    return found.withColumn("line_licences", F.array_join("line_licences", ","))
