@@ -33,7 +33,7 @@ BUDGET_SHARE = 1.5
 MOST_EPOCHS = 2.0
 
 #: Rows a slice of a source holds on average.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 4_000
 
 
 def word_count(text: Column) -> Column:
