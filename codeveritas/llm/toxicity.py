@@ -1,7 +1,7 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-A text is the bag of the character n-grams (3 to 5, word ends marked) of its lower-case words, and
-each word as a whole; each n-gram has an embedding, found by hashing into `2 ** BUCKET_BITS` rows.
+A text is the bag of the character n-grams (3 to 5, word ends marked) of its distinct lower-case
+words, and each word as a whole; each n-gram has an embedding, found by hashing into `2 ** BUCKET_BITS` rows.
 The average embedding goes through a linear softmax over two classes; embeddings and softmax are
 trained jointly in numpy by Adagrad on the cross-entropy.  A misspelling that was never seen shares
 most of its n-grams, so most of its vector, with the word it comes from.
@@ -9,7 +9,7 @@ most of its n-grams, so most of its vector, with the word it comes from.
 As averaging and softmax input are linear, every n-gram adds a fixed amount to the difference of the
 two class scores.  Scoring sums these amounts, per distinct word once and then per text.
 
-Training reads a bounded sample of the labelled rows, `per_class` documents of each class with the
+Training reads a bounded sample of the labelled rows, `per_class[k]` documents of class k with the
 smallest hashes of their ids, as n-gram counts (at most `2 ** BUCKET_BITS` pairs a document).
 Classes are weighted so that the sample stands for their shares in all labelled rows.
 
@@ -33,16 +33,19 @@ from pyspark.sql import functions as F
 from .base import blocks
 from .qgrams import mix
 
-BUCKET_BITS = 15
+BUCKET_BITS = 17
 WIDTH = 16
 LENGTHS = (3, 4, 5)
 
-#: Labelled documents of each class that training reads.
-PER_CLASS = 2_000
-EPOCHS = 12
+#: Labelled documents of class 0 and of class 1 that training reads.
+PER_CLASS = (5_000, 1_500)
+EPOCHS = 10
 BATCH = 64
 RATE = 0.5
 
+#: N-grams without effect that are averaged in, so that a few words decide less than many.
+EMPTY = 150.0
+
 #: Distinct words a task remembers.
 REMEMBERED = 400_000
 
@@ -86,11 +89,8 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     words = split_words(text)
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    places: dict[str, int] = {}
-    order = np.array([places.setdefault(w, len(places)) for w in words])
-    times = np.bincount(order)
-    buckets, owners = ngram_buckets(list(places))
-    counts = np.bincount(buckets, weights=times[owners], minlength=1)
+    buckets, _ = ngram_buckets(list(dict.fromkeys(words)))
+    counts = np.bincount(buckets, minlength=1)
     found = np.flatnonzero(counts)
     return found.astype(np.int32), counts[found].astype(np.float32)
 
@@ -120,20 +120,18 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights
         order = draw.permutation(len(bags))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
-            x = np.zeros((len(rows), n_buckets), np.float32)
-            for i, r in enumerate(rows):
-                ids, counts = bags[r]
-                if len(ids):
-                    x[i, ids] = counts / counts.sum()
-            used = np.flatnonzero(x.any(axis=0))
-            x = x[:, used]
+            ids = np.concatenate([bags[r][0] for r in rows])
+            used, column = np.unique(ids, return_inverse=True)
+            x = np.zeros((len(rows), len(used)), np.float32)
+            line = np.repeat(np.arange(len(rows)), [len(bags[r][0]) for r in rows])
+            x[line, column] = np.concatenate([bags[r][1] / (bags[r][1].sum() + EMPTY) for r in rows])
             hidden = x @ embed[used]
             z = hidden @ soft + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             g = (p - want[rows]) * weights[rows, None] / len(rows)
             for value, grad, seen, at_rows in (
-                (embed, x.T @ (g @ soft.T), past[0], used),
+                (embed, (x.T @ g) @ soft.T, past[0], used),
                 (soft, hidden.T @ g, past[1], slice(None)),
                 (bias, g.sum(axis=0), past[2], slice(None)),
             ):
@@ -158,7 +156,7 @@ class Scorer:
         self.known.update(zip(words, zip(sums.tolist(), counts.tolist())))
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        lists = [split_words(t) for t in texts]
+        lists = [set(split_words(t)) for t in texts]
         known = self.known
         if new := list({w for ws in lists for w in ws if w not in known}):
             self.learn(new)
@@ -167,12 +165,11 @@ class Scorer:
                 self.learn(gone)
         means = np.zeros(len(texts))
         for i, ws in enumerate(lists):
-            if ws:
-                total = count = 0.0
-                for s, c in map(known.__getitem__, ws):
-                    total += s
-                    count += c
-                means[i] = total / count
+            total = count = 0.0
+            for pair in map(known.__getitem__, sorted(ws)):
+                total += pair[0]
+                count += pair[1]
+            means[i] = total / (count + EMPTY)
         return self.model.probability(means)
 
 
@@ -181,7 +178,7 @@ def held_out(id_column: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
+        label_col: str = "toxic", per_class: tuple[int, int] = PER_CLASS) -> Model:
     """Trains on labelled rows outside the held-out fold."""
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("mark"))
     marks = marks.filter(F.col("id").isNotNull() & F.col("mark").isin(0, 1) & ~held_out(F.col("id")))
@@ -191,9 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model(np.zeros(1 << BUCKET_BITS), 60.0 * (share - 0.5))
     chosen = None
     for mark in (0, 1):
-        part = marks.filter(F.col("mark") == mark).orderBy(F.xxhash64("id"), "id").limit(per_class)
+        part = marks.filter(F.col("mark") == mark).orderBy(F.xxhash64("id"), "id").limit(per_class[mark])
         chosen = part if chosen is None else chosen.unionByName(part)
-    # At most 2 * per_class narrow rows, so their side is small enough to broadcast.
+    # At most sum(per_class) narrow rows, so their side is small enough to broadcast.
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sample = texts.join(F.broadcast(chosen), "id").select("id", "mark", "text")
 
