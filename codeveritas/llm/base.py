@@ -21,28 +21,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns (id, tie, text) that name and order every document.
+NULL_ID = (1 << 63) - 1
+
+
+def identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Columns (id, tie, text), and `carried` if asked for, that name and order every document.
 
     Where ids are unique and not null, which one aggregate over the id column tells, `tie` is 0.
     Else `tie` is a hash of id and text, so rows that share an id (nulls are one id, after all
     others) are distinct documents in the order of that hash, and rows equal in both are one
-    document.  Other columns are left out, so none can clash.
+    document, with the least of their carried values.  Other columns are left out, so none clashes.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(f"`{text_col}`").cast("string").alias("text")
+    more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text, *more)
     twice = rows.groupBy("id").count().filter("count > 1 or id is null").limit(1).count()
+    tie = F.xxhash64(F.col("id").isNull(), "id", F.col("text").isNull(), "text") if twice else F.lit(0).cast("long")
+    rows = rows.select(F.coalesce("id", F.lit(NULL_ID)).alias("id"), tie.alias("tie"), "text", *(["carried"] if carry else []))
     if not twice:
-        return rows.select("id", F.lit(0).cast("long").alias("tie"), "text")
-    return (
-        rows.distinct()
-        .withColumn("tie", F.xxhash64(F.col("id").isNull(), "id", F.col("text").isNull(), "text"))
-        .select(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "tie", "text")
-    )
+        return rows
+    if carry:
+        return rows.groupBy("id", "tie", "text").agg(F.min("carried").alias("carried"))
+    return rows.distinct()
 
 
 def original_id(df: DataFrame) -> DataFrame:
     """Turns the stand-in for a null id back into null."""
-    return df.withColumn("id", F.when(F.col("id") != (1 << 63) - 1, F.col("id")))
+    return df.withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id")))
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
