@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decontamination
-from . import licences, mixing, quality, suffix_dedup, token_counts, toxicity, warc
+from . import jaccard_join, licences, mixing, quality, suffix_dedup, token_counts, toxicity, warc
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,28 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
+@query(
+    "op2_ngram_jaccard_join",
+    """
+with recursive words as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) as w from documents),
+shingles as (
+  select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s, least(len(w), 5) as k
+  from words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as r(i) where len(w) > 0),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+links as (
+  select x.doc_id as a, y.doc_id as b from shingles x join shingles y on x.s = y.s and x.k = y.k and x.doc_id <> y.doc_id
+    join sizes p on p.doc_id = x.doc_id join sizes q on q.doc_id = y.doc_id
+  group by x.doc_id, y.doc_id, p.n, q.n having 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+reach as (select doc_id, doc_id as r from documents union select l.b, reach.r from reach join links l on l.a = reach.doc_id)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id
+from documents d left join sizes using (doc_id) join (select doc_id, min(r) as component_id from reach group by doc_id) using (doc_id)
+""",
+)
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).drop("members")
+
+
 @query("op3_token_counts")
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -150,7 +172,7 @@ def _licence_sql() -> str:
 
     def lines(text: str) -> str:
         out = f"regexp_replace(lower(coalesce({text}, '')), '\r\n?', chr(10), 'g')"
-        out = f"regexp_replace(regexp_replace({out}, '\u00a9|\(c\)', ' copyright ', 'g'), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+        out = f"regexp_replace(regexp_replace({out}, '\u00a9|\\(c\\)', ' copyright ', 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
         out = f"regexp_replace({out}, {quoted(licences.COPYRIGHT_LINE)}, '', 'g')"
         return f"list_filter(list_transform(string_split({out}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 
