@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decontamination
-from . import jaccard_join, licences, mixing, quality, suffix_dedup, token_counts, toxicity, warc
+from . import jaccard_join, licences, mixing, passage_chains, quality, suffix_dedup, token_counts, toxicity, warc
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,6 +116,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query("op7_collinear_chaining")
+def op7_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_chains.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op8_benchmark_decontamination",
     """
