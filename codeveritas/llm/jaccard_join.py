@@ -32,11 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import write_and_read
-from .base import LOWER, NULL_ID, blocks, identified
+from .base import LOWER, NULL_ID, blocks, identified, original_id
 from .components import components
 from .qgrams import mix, pair
 from .text_stats import Block
@@ -193,12 +193,15 @@ def _pair(x, y):
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable by links), members (of it)."""
-    rows = identified(docs, id_col, text_col)
-    node = F.when(F.col("tie") == 0, F.col("id")).otherwise(F.xxhash64("id", "tie"))
-    texts = rows.select(node.alias("node"), "id", "text")
-    heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(texts, HEAVY_IN_BATCH, MOST_HEAVY))
+def node_of() -> Column:
+    """One number for each row of `base.identified`: its id where ids are unique."""
+    return F.when(F.col("tie") == 0, F.col("id")).otherwise(F.xxhash64("id", "tie"))
+
+
+def _labelled(rows: DataFrame, percent: int) -> DataFrame:
+    """node, id, n, component (a node of it) of each row of `base.identified`."""
+    texts = rows.select(node_of().alias("node"), "id", "text")
+    heavy = rows.sparkSession.sparkContext.broadcast(heavy_shingles(texts, HEAVY_IN_BATCH, MOST_HEAVY))
     schema = "id long, node long, n long, set1 long, set2 long, grp long, " + ", ".join(f"b{k} long" for k in range(BITMAP))
     facts = write_and_read(texts.mapInArrow(_facts(heavy, percent), f"{schema}, prefix array<long>"), "shingle-facts")
 
@@ -262,10 +265,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = links.unionByName(write_and_read(_verified(second, classes, texts, percent), "second-links"))
 
     every = components(links.unionByName(copies))
-    labelled = narrow.select("id", "node", "n").join(every, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = narrow.select("id", "node", "n").join(every, "node", "left")
+    return labelled.withColumn("component", F.coalesce("component", "node"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (least id reachable by links), members (of it)."""
+    labelled = _labelled(identified(docs, id_col, text_col), percent)
     # The label is a node; the result names the least id of the component.
     least = labelled.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("members"))
     shown = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return labelled.join(least, "component").select(
         shown("id").alias(id_col), F.col("n").alias("n_shingles"), shown("component_id").alias("component_id"), "members"
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """`docs` with the document of the least id of each component only, all columns kept."""
+    carry = [c for c in docs.columns if c not in (id_col, text_col)]
+    rows = identified(docs, id_col, text_col, carry)
+    labelled = _labelled(rows, percent)
+    chosen = labelled.groupBy("component").agg(F.min(F.struct("id", "node")).alias("c")).select(F.col("c.node").alias("node"))
+    kept = original_id(rows.withColumn("node", node_of()).join(write_and_read(chosen, "chosen"), "node", "left_semi"))
+    source = {id_col: F.col("id"), text_col: F.col("text")}
+    return kept.select(*[source.get(c, F.col(f"carried.`{c}`") if carry else None).alias(c) for c in docs.columns])

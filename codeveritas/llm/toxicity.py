@@ -40,6 +40,9 @@ LENGTHS = (3, 4, 5)
 #: Labelled documents of class 0 and of class 1 that training reads.
 PER_CLASS = (5_000, 1_500)
 EPOCHS = 10
+
+#: Updates that a small sample gets at least, in more epochs.
+LEAST_STEPS = 600
 BATCH = 64
 RATE = 0.5
 
@@ -116,7 +119,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights
     bias = np.zeros(2, np.float32)
     past = [np.full_like(x, 1e-6) for x in (embed, soft, bias)]
     want = np.eye(2, dtype=np.float32)[labels]
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS * batch // max(1, len(bags))))):
         order = draw.permutation(len(bags))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
