@@ -23,15 +23,20 @@ def let(value: Column, body) -> Column:
 
 
 def built_once(fn):
-    """Builds the expression for a column once per driver process.
+    """Builds the expression for a column name once per driver process.
 
     A large expression takes thousands of driver-to-JVM calls to assemble.  It
-    is immutable and names its input, so the same column can reuse it.
+    is immutable, so it is reused for the same bare name (``F.col(name)``); a
+    column that belongs to a frame, or is computed, prints like others that it
+    is not, and is built anew.
     """
     built: dict = {}
 
     @wraps(fn)
     def reuse(column: Column, *args) -> Column:
+        node = column._jc.node()
+        if node.getClass().getSimpleName() != "UnresolvedAttribute" or node.planId().isDefined():
+            return fn(column, *args)
         key = (id(SparkContext._gateway), str(column), *map(str, args))
         if key not in built:
             built[key] = fn(column, *args)

@@ -34,6 +34,7 @@ WORD_RUN = f"[{WORD}]+"
 # Marks the position of a regex match inside a text; never part of real text
 # because ``normalise`` removes it.
 MARK = "\x01"
+STAND_IN = "\x02"
 
 
 def java_regex(pattern: str, *, ignore_case: bool = False, multiline: bool = False) -> str:
@@ -90,13 +91,12 @@ def characters_of(col: Column) -> Column:
 
 
 def normalise(col: Column) -> Column:
-    """Lenient UTF-8, ``\\n`` newlines, and no marker character.
+    """Lenient UTF-8 and ``\\n`` newlines.
 
     Accepts a binary or a string column.
     """
     text = F.make_valid_utf8(col.cast("string"))
-    text = F.regexp_replace(text, "\r\n?", "\n")
-    return F.translate(text, MARK, " ")
+    return F.regexp_replace(text, "\r\n?", "\n")
 
 
 # Characters that case-insensitive matching treats as the ASCII letter beside
@@ -139,7 +139,9 @@ def match_lines(
     line where the whitespace begins, which may be a blank line further up.
     """
     mark = f"{MARK}$0" if at_match_start else f"$1{MARK}$2"
-    marked = F.regexp_replace(col, java_regex(pattern, **flags), mark)
+    # The marker must not occur in the text: in this copy, which only counts
+    # lines, another control character stands for it.
+    marked = F.regexp_replace(F.translate(col, MARK, STAND_IN), java_regex(pattern, **flags), mark)
     per_line = F.transform(
         lines_of(marked),
         lambda line, i: F.array_repeat(i + 1, F.size(F.split(line, MARK, -1)) - 1),

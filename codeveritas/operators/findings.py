@@ -161,7 +161,7 @@ def imports_as_findings(imports: DataFrame) -> DataFrame:
     dotted = F.col("module").rlike(r"^[a-zA-Z_][a-zA-Z0-9_.]*$")
     npm = F.col("module").rlike(r"^[a-zA-Z@][a-zA-Z0-9./_-]*$")
     rule = (
-        F.when((F.col("registry") == "npm") & npm, F.lit("ai-hallucinated-npm-import"))
+        F.when((F.col("registry") == "npm") & F.col("is_from") & npm, F.lit("ai-hallucinated-npm-import"))
         .when((F.col("registry") == "pypi") & F.col("is_from") & dotted,
               F.lit("ai-hallucinated-import-from"))
         .when((F.col("registry") == "pypi") & ~F.col("is_from") & bare,

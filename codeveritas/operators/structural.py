@@ -59,12 +59,16 @@ JS_RULES = [
 ]
 
 
+def _subtree(nodes: Column, node: Column) -> Column:
+    """The node and all below it, which follow it in pre-order."""
+    return F.slice(nodes, node["id"] + 1, node["last"] - node["id"] + 1)
+
+
 def _child(nodes: Column, node: Column, role: str, idx: int = 0) -> Column:
     """The direct child in a given role; it is one of the ids of the subtree."""
-    subtree = F.slice(nodes, node["id"] + 1, node["last"] - node["id"] + 1)
     return F.get(
         F.filter(
-            subtree,
+            _subtree(nodes, node),
             lambda c: (c["parent"] == node["id"]) & (c["role"] == role) & (c["idx"] == idx),
         ),
         F.lit(0),
@@ -124,18 +128,16 @@ def _hit_eval(nodes: Column, code: Column, node: Column) -> Column:
     return F.when(named, text.matches(argument, OUTPUT_WORDS))
 
 
-def _inside_try(nodes: Column, node: Column) -> Column:
+def _inside_try(node: Column) -> Column:
     return F.exists(
-        nodes,
-        lambda t: t["type"].isin("Try", "TryStar") & (t["id"] < node["id"])
-        & (node["last"] <= t["last"]),
+        F.col("tries"), lambda t: (t["id"] < node["id"]) & (node["last"] <= t["last"])
     )
 
 
 def _hit_unguarded(nodes: Column, code: Column, node: Column) -> Column:
     parent = F.get(nodes, node["parent"])
     assigned = (node["role"] == "value") & (parent["type"] == "Assign")
-    return F.when(assigned & _is_completion(nodes, node), ~_inside_try(nodes, node))
+    return F.when(assigned & _is_completion(nodes, node), ~_inside_try(node))
 
 
 def _hit_temperature(nodes: Column, code: Column, node: Column) -> Column:
@@ -144,7 +146,7 @@ def _hit_temperature(nodes: Column, code: Column, node: Column) -> Column:
             (k["parent"] == node["id"]) & (k["type"] == "keyword") & (k["name"] == "temperature")
         )
 
-    return F.when(_is_completion(nodes, node), F.exists(nodes, is_temperature))
+    return F.when(_is_completion(nodes, node), F.exists(_subtree(nodes, node), is_temperature))
 
 
 def _hit_fstring(nodes: Column, code: Column, node: Column) -> Column:
@@ -153,7 +155,7 @@ def _hit_fstring(nodes: Column, code: Column, node: Column) -> Column:
         expression = syntax.source_of(code, F.get(nodes, v["id"] + 1))
         return F.when(inside, text.matches(expression, INPUT_WORDS_PY)).otherwise(F.lit(False))
 
-    return F.when(node["type"] == "JoinedStr", F.exists(nodes, interpolates))
+    return F.when(node["type"] == "JoinedStr", F.exists(_subtree(nodes, node), interpolates))
 
 
 def _hit_format(nodes: Column, code: Column, node: Column) -> Column:
@@ -177,7 +179,7 @@ _PREDICATES = {
 
 # A file without any of these words cannot match a Python rule, so it is
 # neither parsed nor shipped to a Python worker.
-_PYTHON_TRIGGER = r"api_key|eval|exec|completions|\.format\(|[fF][rR]?['\"]|[rR][fF]['\"]"
+_PYTHON_TRIGGER = r"api_key|eval|exec|completions|\bformat\b|[fF][rR]?['\"]|[rR][fF]['\"]"
 
 
 def python_rule_findings(files: DataFrame) -> DataFrame:
@@ -210,14 +212,36 @@ def python_rule_findings(files: DataFrame) -> DataFrame:
 
     interesting = F.filter(nodes, lambda x: x["type"].isin("Assign", "Call", "JoinedStr"))
     found = F.flatten(F.transform(interesting, of_node)).cast(rules.FINDING_ARRAY)
-    return candidates.withColumn("nodes", syntax.python_nodes("code")).select(
-        *KEY, F.inline(found)
+    # Calls are compared with the try blocks of their file, not with all of its nodes.
+    tries = F.filter(nodes, lambda x: x["type"].isin("Try", "TryStar"))
+    return (
+        candidates.withColumn("nodes", syntax.python_nodes("code"))
+        .withColumn("tries", tries)
+        .select(*KEY, F.inline(found))
     )
 
 
 def js_rule_findings(files: DataFrame) -> DataFrame:
-    """Line forms of the two JavaScript rules (there is no JavaScript tree)."""
-    return rules.scan_rules(files.where(is_js()), JS_RULES)
+    """Text forms of the two JavaScript rules (there is no JavaScript tree).
+
+    Concatenation is looked for in each line.  A template literal may span
+    lines: it is looked for in the whole text and reported where it starts,
+    once per line.
+    """
+    scripts = files.where(is_js())
+    content = F.col("content")
+    concat, template = JS_RULES
+    starts = F.array_distinct(
+        text.match_lines(content, f"()({template['pattern']})", ignore_case=True)
+    )
+    of_template = F.transform(
+        starts,
+        lambda n: rules.finding(template, n, F.get(text.lines_of(content), n - 1)),
+    )
+    found = F.concat(
+        rules.finding_array(content, [concat]), of_template.cast(rules.FINDING_ARRAY)
+    )
+    return scripts.select(*KEY, F.inline(found))
 
 
 def import_rule_findings(files: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ JS_IMPORT = (
     rf"(^[{WS}]*)(import[{WS}]+(?:\{{[^}}]+\}}[{WS}]+from[{WS}]+|[{WORD}]+[{WS}]+from[{WS}]+)?"
     rf"['\"]([^'\"]+)['\"])"
 )
+JS_DEFAULT = rf"^import[{WS}]+[{WORD}]+[{WS}]+from"
 JS_COMMENT_LINE = rf"^[{WS}]*(?://|/\*|\*)"
 
 # A from-import whose name list is parenthesised or starred, which the pattern
@@ -176,6 +177,7 @@ def function_count(files: DataFrame) -> DataFrame:
     return files.select(*KEY, function_total(F.col("code")).alias("function_count"))
 
 
+# ``is_from``: a Python ``from`` import, or a JavaScript import of a default name.
 IMPORT_TYPE = "array<struct<registry:string,module:string,line_no:int,is_from:boolean>>"
 
 
@@ -215,8 +217,8 @@ def python_import_array(
 
 def js_import_array(code: Column) -> Column:
     return F.transform(
-        _groups(code, JS_IMPORT, 3),
-        lambda m: _import_row("npm", m["g3"], m["line_no"], F.lit(False)),
+        _groups(code, JS_IMPORT, 2, 3),
+        lambda m: _import_row("npm", m["g3"], m["line_no"], m["g2"].rlike(JS_DEFAULT)),
     ).cast(IMPORT_TYPE)
 
 

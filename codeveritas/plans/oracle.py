@@ -104,7 +104,8 @@ IMPORTS = (
     "SELECT *, trim(string_split(trim(unnest(string_split(names, ','))), ' as ')[1]) AS module "
     "FROM py_imports WHERE from_module = '') WHERE module <> '' UNION ALL "
     "SELECT doc_id, scan_id, file_path, language, 'npm', "
-    f"regexp_extract(line, {rx(symbols.JS_IMPORT)}, 3), line_no, false FROM lines "
+    f"regexp_extract(line, {rx(symbols.JS_IMPORT)}, 3), line_no, regexp_matches("
+    f"regexp_extract(line, {rx(symbols.JS_IMPORT)}, 2), {rx(symbols.JS_DEFAULT)}) FROM lines "
     f"WHERE {JS} AND {hits('line', symbols.JS_IMPORT)})"
 )
 SYMBOL_COUNTS = (

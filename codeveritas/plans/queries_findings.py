@@ -143,7 +143,7 @@ def _(spark, sf):
 
 
 _IMPORT_RULE = (
-    "CASE WHEN registry = 'npm' AND regexp_matches(module, '^[a-zA-Z@][a-zA-Z0-9./_-]*$') "
+    "CASE WHEN registry = 'npm' AND is_from AND regexp_matches(module, '^[a-zA-Z@][a-zA-Z0-9./_-]*$') "
     "THEN 'ai-hallucinated-npm-import' WHEN registry = 'pypi' AND is_from AND "
     "regexp_matches(module, '^[a-zA-Z_][a-zA-Z0-9_.]*$') THEN 'ai-hallucinated-import-from' "
     "WHEN registry = 'pypi' AND NOT is_from AND regexp_matches(module, '^[a-zA-Z_][a-zA-Z0-9_]*$') "

@@ -383,3 +383,59 @@ def test_facts_plan_has_no_shuffle_and_one_scan(make_files, spark, tmp_path):
     text = facts._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text and text.count("FileScan") == 1
     assert "LessThanOrEqual(size_bytes,512000)" in text
+
+
+# Findings that an earlier form of the rules lost or made up.
+
+
+def _rules_of(df):
+    return sorted((r.rule_id, r.line_start) for r in df.collect())
+
+
+def test_format_call_with_a_space_is_found(make_files):
+    files = make_files(("a.py", 'x = "a {}".format (total)\ny = "b {}".format(total)\n'))
+    found = structural.python_rule_findings(files)
+    assert _rules_of(found) == [("prompt-injection-format", 1), ("prompt-injection-format", 2)]
+
+
+def test_template_literal_over_several_lines(make_files):
+    code = "const a = 1;\nconst p = `hello\n  there ${req.body}\n`;\nconst q = `${x}`;\n"
+    found = structural.js_rule_findings(make_files(("a.js", code)))
+    assert _rules_of(found) == [("prompt-injection-template-literal", 2)]
+
+
+def test_only_default_imports_are_npm_findings(make_files):
+    code = "import 'react';\nimport {a} from 'lib';\nimport Thing from 'thing';\n"
+    found = structural.import_rule_findings(make_files(("a.js", code)))
+    assert _rules_of(found) == [("ai-hallucinated-npm-import", 3)]
+
+
+def test_control_character_at_line_ends_is_no_watermark(make_files):
+    files = make_files(("a.py", "".join(f"x{k} = 1\u0001\n" for k in range(80))))
+    assert files.first().content.count("\u0001") == 80
+    assert watermark.extract_watermark(files).first().payload is None
+    imports = make_files(("b.py", "\u0001\n# \u0001\nimport os\n"))
+    assert [r.line_no for r in symbols.python_imports(imports).collect()] == [3]
+
+
+def test_columns_of_two_frames_are_not_mixed_up(spark):
+    a = spark.createDataFrame([(1, "aaaa")], "k int, code string")
+    b = spark.createDataFrame([(1, "abcd")], "k int, code string")
+    joined = a.join(b, a["k"] == b["k"]).select(
+        heuristics.char_entropy(a["code"]).alias("x"), heuristics.char_entropy(b["code"]).alias("y")
+    )
+    assert tuple(joined.first()) == (0.0, 2.0)
+    assert b.select(heuristics.char_entropy(b["code"]).alias("y")).first().y == 2.0
+
+
+def test_many_f_strings_take_linear_time(make_files):
+    import time
+
+    def seconds(n):
+        files = make_files(("a.py", "".join(f'a{k} = f"v {{k{k}}}"\n' for k in range(n))))
+        start = time.time()
+        assert structural.python_rule_findings(files).count() == 0
+        return time.time() - start
+
+    seconds(10)
+    assert seconds(8000) < 20
