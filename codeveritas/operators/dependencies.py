@@ -52,15 +52,11 @@ def unknown_packages(imports: DataFrame, registry: DataFrame) -> DataFrame:
     once.  A registry without any snapshot row reports nothing (fail open).
     """
     snapshot = registry.select("registry", "package").distinct()
-    covered = [
-        r.registry
-        for r in snapshot.select("registry").distinct().where(
-            F.col("registry").isin("pypi", "npm")
-        ).collect()
-    ]
-    wanted = checkable(imports).where(F.col("registry").isin(covered)).select(
-        "registry", "package"
-    ).distinct()
+    covered = snapshot.select("registry").where(F.col("registry").isin("pypi", "npm")).distinct()
+    # Two rows at most, so their side may be broadcast.
+    wanted = checkable(imports).select("registry", "package").distinct().join(
+        F.broadcast(covered), "registry", "left_semi"
+    )
     return wanted.join(snapshot, ["registry", "package"], "left_anti")
 
 

@@ -16,6 +16,8 @@ from .symbols import KEY
 # make a file worth a closer review.
 ENGINE_SEVERITY = {"ERROR": "high", "WARNING": "medium", "INFO": "low"}
 REVIEW_WORDS = ["openai", "llm", "prompt", "gpt", "anthropic", "langchain"]
+# Slices of a scan whose first files are chosen apart; any number gives the same result.
+REVIEW_SLICES = 64
 REVIEW_CHARS = 4000
 
 SOURCE_RANK = {"structural": 0, "line": 1, "external": 2}
@@ -106,17 +108,22 @@ def review_candidates(files: DataFrame, n: int = 10) -> DataFrame:
     """Of the first ``n`` files of every scan, those that mention model use.
 
     The rank limit is applied inside every input partition before the shuffle,
-    and only the review excerpt travels, so a huge scan stays cheap.
+    and only the review excerpt travels.  It is applied in slices of a scan
+    first, so what the partitions send of a huge scan does not meet in one task.
     """
     lowered = F.lower("content")
     mentions = reduce(lambda a, b: a | b, [lowered.contains(w) for w in REVIEW_WORDS])
     narrow = files.select(
         *KEY, mentions.alias("relevant"), F.substring("content", 1, REVIEW_CHARS).alias("excerpt")
     )
-    rank = F.row_number().over(W.partitionBy("scan_id").orderBy("file_path"))
+
+    def first_n(rows: DataFrame, *keys: str) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy(*keys).orderBy("file_path"))
+        return rows.withColumn("rank", rank).where(F.col("rank") <= n)
+
+    sliced = narrow.withColumn("slice", F.pmod(F.xxhash64("file_path"), F.lit(REVIEW_SLICES)))
     return (
-        narrow.withColumn("rank", rank)
-        .where(F.col("rank") <= n)
+        first_n(first_n(sliced, "scan_id", "slice"), "scan_id")
         .where("relevant")
         .select(*KEY, "excerpt")
     )
