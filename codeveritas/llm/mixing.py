@@ -7,7 +7,8 @@ first takes every document once (a complete epoch) and the rest in key order.
 
 Targets: the budget is shared by weight; a source stops at `most_epochs` times its size and what it
 leaves is shared again by weight among the others.  With sources sorted by size / weight this is
-one pass over running sums, as a source is full exactly if all with a smaller ratio are.
+one pass over running sums: those with the smallest ratios are full, and the first that is not
+sets the rate of all others, which is the highest rate of any source that is not full.
 
 Prefix sums of a hot source do not meet in one task: keys are dealt into slices that are about even
 for each source, sums of slices are added up first, and only the rows of one slice share a window.
@@ -73,7 +74,7 @@ def target_table(sizes: DataFrame, weights: tuple[float, ...], share: float, mos
         .withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
         .withColumn("weight_left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         .withColumn("rate", F.greatest(F.col("budget") - F.col("cap_before"), F.lit(0.0)) / F.col("weight_left"))
-        .withColumn("open_rate", F.min(F.when(F.col("ratio") > F.col("rate"), F.col("rate"))).over(everything))
+        .withColumn("open_rate", F.max(F.when(F.col("ratio") > F.col("rate"), F.col("rate"))).over(everything))
     )
     full = F.col("ratio") <= F.col("rate")
     return rated.select(

@@ -101,7 +101,7 @@ rated as (
   window before as (order by 2.0::double * source_size / weight, source is null, encode(source) rows between unbounded preceding and 1 preceding)),
 targets as (
   select source, source_size, case when ratio <= rate or level is null then 2.0::double * source_size else weight * level end as target
-  from (select *, min(case when ratio > rate then rate end) over () as level from rated)),
+  from (select *, max(case when ratio > rate then rate end) over () as level from rated)),
 placed as (
   select k.doc_id, k.size, t.source_size::bigint as source_size, t.target,
     coalesce(sum(k.size) over (partition by k.source order by -ln(k.u) / k.quality, k.doc_id rows between unbounded preceding and 1 preceding), 0) as ahead
@@ -155,7 +155,24 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-@query("op10_warc")
+#: Base 32 of a hexadecimal SHA-1 in SQL: 5 hexadecimal digits give 4 characters.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha1, {5 * k + 1}, 5))::bigint >> {shift}) & 31)::int + 1, 1)"
+    for k in range(8) for shift in (15, 10, 5, 0)
+)
+
+
+@query(
+    "op10_warc",
+    f"""
+with records as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as sha1 from pages),
+owners as (select html, max(page_id) as owner from records group by html)
+select page_id, octet_length(encode(html))::bigint as payload_bytes, {_BASE32} as payload_digest,
+  case when page_id = owner then 'response' else 'revisit' end as record_type,
+  case when page_id <> owner then owner end as refers_to
+from records join owners using (html)
+""",
+)
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write_archive(table(spark, sf_dir, "pages"))
     return warc.read_archive(archive).select(
