@@ -47,6 +47,9 @@ PERCENT = 80
 #: Words of a bitmap (64 bits each).
 BITMAP = 16
 
+#: Bits of the bitmap that keeps texts without a pair from being exchanged (a fixed 1 MB).
+SIEVE_BITS = 23
+
 #: A shingle in so many different sets of one Arrow batch counts as heavy; the heaviest are kept.
 HEAVY_IN_BATCH = 3
 MOST_HEAVY = 1 << 18
@@ -175,6 +178,28 @@ def _plausible(n1, p1, n2, p2, percent: int):
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (left >= _overlap(n1, n2, percent))
 
 
+def _mostly_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`texts` (node, text) without most of those that are not among `nodes`, before any exchange.
+
+    A bitmap of SIEVE_BITS bits, whatever the number of nodes, holds their hashes; where it fills up
+    it lets more through, and the join that follows decides.
+    """
+    place = F.shiftrightunsigned(F.xxhash64("node"), 64 - SIEVE_BITS)
+    words = nodes.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(shiftrightunsigned(xxhash64(node), %d), 64) as int))" % (64 - SIEVE_BITS)).alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
+    bitmap[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("place").to_numpy().astype(np.int64)
+            keep = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            yield batch.select(["node", "text"]).filter(pa.array(keep.astype(bool)))
+
+    return texts.select("node", "text", place.alias("place")).mapInArrow(run, "node long, text string")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among distinct pairs of classes: bitmaps first, then whole texts."""
     bits = [f"b{k}" for k in range(BITMAP)]
@@ -183,9 +208,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
     differ = sum((F.bit_count(F.col(f"x{b}").bitwiseXOR(F.col(f"y{b}"))) for b in bits), F.lit(0))
     both = pairs.join(one, "a").join(two, "b")
     both = both.filter(F.col("n1") + F.col("n2") - differ >= 2 * _overlap(F.col("n1"), F.col("n2"), percent))
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
-    whole = write_and_read(both.select("a", "b"), "pairs").join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    left_over = write_and_read(both.select("a", "b"), "pairs")
+    needed = write_and_read(_mostly_of(texts, left_over.selectExpr("explode(array(a, b)) as node")), "pair-texts")
+    left = needed.select(F.col("node").alias("a"), F.col("text").alias("left"))
+    right = needed.select(F.col("node").alias("b"), F.col("text").alias("right"))
+    whole = left_over.join(left, "a").join(right, "b").select("a", "b", "left", "right")
     return whole.mapInArrow(_similar(percent), "a long, b long")
 
 
