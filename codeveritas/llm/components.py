@@ -16,9 +16,10 @@ def _toward_least(links: DataFrame, larger_only: bool) -> DataFrame:
     else:
         both = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    moved = both.join(least, "a")
     if larger_only:
-        return moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        moved = both.filter("b > a").join(least, "a")
+        return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    moved = both.join(least, "a")
     own = least.select("a", F.col("m").alias("b"))
     return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(own).filter("a <> b").distinct()
 

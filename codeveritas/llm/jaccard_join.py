@@ -51,8 +51,8 @@ BITMAP = 16
 SIEVE_BITS = 23
 
 #: A shingle in so many different sets of one Arrow batch counts as heavy; the heaviest are kept.
-HEAVY_IN_BATCH = 3
-MOST_HEAVY = 1 << 18
+HEAVY_IN_BATCH = 2
+MOST_HEAVY = 1 << 20
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -289,9 +289,11 @@ def _labelled(rows: DataFrame, percent: int) -> DataFrame:
         (F.col("component1") != F.col("component")) & _plausible(F.col("n1"), F.col("p1"), F.col("n"), F.col("p"), percent)
     )
     second = rest.select(*_pair(F.col("node1"), F.col("node"))).distinct().join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(write_and_read(_verified(second, classes, texts, percent), "second-links"))
+    more = write_and_read(_verified(second, classes, texts, percent), "second-links")
 
-    every = components(links.unionByName(copies))
+    # What the first round connected goes on as one link a node.
+    known = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    every = components(known.unionByName(more).unionByName(copies))
     labelled = narrow.select("id", "node", "n").join(every, "node", "left")
     return labelled.withColumn("component", F.coalesce("component", "node"))
 
