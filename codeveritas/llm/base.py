@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at a time.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
 
 #: A-Z to a-z for bytes.translate; other bytes stay (fixed values).
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

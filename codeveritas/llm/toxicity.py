@@ -207,12 +207,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 names=["id", "mark", "buckets", "counts"],
             )
 
-    got = sample.mapInArrow(bags, "id long, mark int, buckets array<int>, counts array<float>").toArrow().sort_by("id")
+    got = sample.mapInArrow(bags, "id long, mark int, buckets array<int>, counts array<float>").toArrow()
     marked = got["mark"].to_numpy().astype(np.int64)
-    rows = [
-        (np.asarray(b.values), np.asarray(c.values))
-        for b, c in zip(got["buckets"], got["counts"])
-    ]
+    rows = [(np.asarray(b.values), np.asarray(c.values)) for b, c in zip(got["buckets"], got["counts"])]
+    # In the order of ids, without a second copy of the sample.
+    order = np.lexsort((marked, got["id"].to_numpy()))
+    marked, rows = marked[order], [rows[k] for k in order]
     sampled = np.bincount(marked, minlength=2)
     weight = np.array([totals[k] / sum(totals.values()) * len(rows) / max(1, sampled[k]) for k in (0, 1)])
     return train(rows, marked, weight[marked].astype(np.float32))
