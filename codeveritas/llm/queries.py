@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decontamination
-from . import jaccard_join, licences, mixing, passage_chains, quality, suffix_dedup, token_counts, toxicity, warc
+from . import jaccard_join, licences, mixing, passage_chains, quality, suffix_dedup, token_counts, toxicity, warc, word_runs
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,3 +216,8 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = licences.scan_licences(docs, licences.known_licences(spark))
     return found.withColumn("line_licences", F.array_join("line_licences", ","))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.digests(word_runs.word_runs(word_runs.planted(table(spark, sf_dir, "documents"))))
