@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decontamination
-from . import jaccard_join, licences, mixing, passage_chains, quality, suffix_dedup, token_counts, toxicity, warc, word_runs
+from . import jaccard_join, licences, mixing, passage_chains, quality, spelling, suffix_dedup, token_counts, toxicity, warc, word_runs
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,3 +221,35 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_periodic_runs")
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.digests(word_runs.word_runs(word_runs.planted(table(spark, sf_dir, "documents"))))
+
+
+@query(
+    "op13_spelling_variants",
+    r"""
+with recursive crc as (
+  select list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k:
+    case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab),
+found as (
+  select doc_id, w, count(*) as c
+  from (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\x{00C0}-\x{00FF}]+')) as w from documents) group by doc_id, w),
+hexed as (select w, c, hex(encode(coalesce(doc_id::varchar, '') || ':' || w)) as h from found where length(w) >= 6),
+summed as (
+  select w, c, xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::bigint, 2))::bigint)),
+    lambda r, b: xor(r >> 8, tab[(xor(r, b) & 255) + 1])), 4294967295::bigint) as h from hexed, crc),
+changed as (select case when h % 199 = 0 then substr(w, 1, (h % length(w))::bigint) || substr(w, (h % length(w))::bigint + 2) else w end as word, c from summed),
+words as (select word, sum(c)::bigint as n from changed where length(word) >= 6 group by word having sum(c) >= 5),
+cuts as (select word, n, length(word) as l, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from words, unnest(range(1, length(word) + 1)) as r(i)),
+near as (
+  select distinct x.word as a, y.word as b, x.n as n_a, y.n as n_b from cuts x join cuts y on x.rest = y.rest and x.l = y.l and x.i = y.i and x.word <> y.word
+  union select distinct x.word, y.word, x.n, y.n from cuts x join words y on x.rest = y.word
+  union select distinct y.word, x.word, y.n, x.n from cuts x join words y on x.rest = y.word),
+best as (select a as word, n_a as n, count(*) as n_near, min((-n_b, encode(b), b)) as t from near group by a, n_a),
+forms as (select word, n_near, case when -t[1] >= 5 * n then t[3] end as form, case when -t[1] >= 5 * n then -t[1] end as form_n from best),
+chain as (select word, word as root, 0 as k from words union all select c.word, f.form, k + 1 from chain c join forms f on f.word = c.root where f.form is not null)
+select w.word, f.form, r.root, w.n, coalesce(f.n_near, 0)::bigint as n_near, f.form_n::bigint as form_n
+from words w left join forms f on w.word = f.word join (select word, arg_max(root, k) as root from chain group by word) r on r.word = w.word
+""",
+)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), change=spelling.planted)
