@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decontamination
-from . import jaccard_join, licences, mixing, passage_chains, quality, spelling, suffix_dedup, token_counts, toxicity, warc, word_runs
+from . import jaccard_join, licences, mixing, nearest, passage_chains, quality, spelling, suffix_dedup, token_counts, toxicity, warc, word_runs
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,6 +223,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.digests(word_runs.word_runs(word_runs.planted(table(spark, sf_dir, "documents"))))
 
 
+@query("op12_nearest_neighbours")
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.nearest(rows, rows.filter("vec_id % 20 = 0"))
+
+
 @query(
     "op13_spelling_variants",
     r"""
