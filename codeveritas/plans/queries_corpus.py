@@ -8,7 +8,7 @@ from ..functions import text
 from ..operators import heuristics, style, symbols, syntax
 from ..operators.symbols import KEY
 from ..session import scratch_dir
-from ..sources import archives, reports
+from ..sources import archives, directories, reports
 from ..sources import files as files_source
 from . import oracle as o
 from . import views
@@ -26,6 +26,27 @@ def r6(name: str):
     return F.round(F.col(name), 6).alias(name)
 
 
+@query("scan_files", with_(RAW) + " SELECT scan_id, file_path, strlen(content) AS size_bytes, "
+       "sha256(content) AS content_sha256 FROM raw")
+def _(spark, sf):
+    # Every document as a file of a directory tree, listed and read back.
+    root = scratch_dir(spark, "tree")
+    directories.write_files(views.raw_files(spark, sf), root)
+    read = files_source.scan_files(spark, root)
+    return files_source.content_hash(read).select(*KEY, "size_bytes", "content_sha256")
+
+
+@query("scan_supported_files", with_(RAW) + " SELECT scan_id, file_path, strlen(content) AS "
+       "size_bytes FROM raw WHERE doc_id % 9 <> 8 AND doc_id % 10 <> 9 AND strlen(content) <= 4096")
+def _(spark, sf):
+    root = scratch_dir(spark, "tree")
+    directories.write_files(views.raw_files(spark, sf), root)
+    kept = files_source.scan_files(
+        spark, root, supported_only=True, skip_vendor=True, max_bytes=4096
+    )
+    return kept.select(*KEY, "size_bytes")
+
+
 @query("keep_supported", with_(RAW) + " SELECT scan_id, file_path, "
        f"lower({views.EXT}) AS ext FROM raw WHERE doc_id % 9 <> 8")
 def _(spark, sf):

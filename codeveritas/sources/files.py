@@ -11,18 +11,47 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text
+from . import directories
 
 
 def scan_files(
-    spark: SparkSession, root: str, scan_id: str | None = None, keep_empty: bool = True
+    spark: SparkSession, root: str, scan_id: str | None = None, *,
+    supported_only: bool = False, skip_vendor: bool = False, max_bytes: int | None = None,
 ) -> DataFrame:
-    """Every file below ``root`` with its bytes.
+    """Every file below ``root`` with its bytes, empty ones included.
 
     ``file_path`` is relative to the scan root, so a root that itself lies
     below a skipped directory is not skipped.  Without ``scan_id`` the first
-    directory below the root names the scan.  Spark's file source passes over
-    empty files; ``keep_empty`` adds them from its index, which holds every
-    file name on the driver anyway.  Very large corpora belong in a table.
+    directory below the root names the scan.  The filters work on the listing:
+    what they drop is never opened.  A store that only Spark's readers reach
+    is read through Spark's file index.
+    """
+    if not directories.can_open(root):
+        files = scan_files_by_index(spark, root, scan_id)
+        files = keep_supported(files) if supported_only else files
+        files = drop_vendor_dirs(files) if skip_vendor else files
+        return files if max_bytes is None else drop_oversize(files, max_bytes)
+    listing = directories.list_tree(
+        spark, root, skipped=schemas.SKIPPED_DIRECTORIES if skip_vendor else None,
+        extensions=schemas.SOURCE_EXTENSIONS if supported_only else None, max_bytes=max_bytes,
+    )
+    if supported_only:
+        # An ending is not yet an extension: "notes.xpy" ends in no dot and "py".
+        kept = text.extension_of(F.col("path")).isin(schemas.SOURCE_EXTENSIONS)
+        listing = listing.where(kept)
+    scan = F.lit(scan_id) if scan_id is not None else F.split("path", "/")[0]
+    return directories.read_files(listing, root).select(
+        scan.alias("scan_id"), F.col("path").alias("file_path"), F.col("size").alias("size_bytes"), "content"
+    )
+
+
+def scan_files_by_index(
+    spark: SparkSession, root: str, scan_id: str | None = None, keep_empty: bool = True
+) -> DataFrame:
+    """``scan_files`` by Spark's own file source, whose index holds every file name on the driver.
+
+    Filters on size reach the source.  It passes over empty files;
+    ``keep_empty`` adds them from its index.
     """
     raw = (
         spark.read.format("binaryFile")

@@ -5,10 +5,11 @@ import json
 import tarfile
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from codeveritas.operators import training
-from codeveritas.sources import archives, files, reports
+from codeveritas.sources import archives, directories, files, reports
 
 
 def test_scan_files_filters_relative_to_root(spark, tmp_path):
@@ -39,11 +40,62 @@ def test_scan_files_filters_relative_to_root(spark, tmp_path):
 
 def test_scan_filters_reach_the_file_source(spark, tmp_path):
     (tmp_path / "a.py").write_bytes(b"x")
-    plan = files.drop_oversize(files.scan_files(spark, str(tmp_path), "s"))
+    plan = files.drop_oversize(files.scan_files_by_index(spark, str(tmp_path), "s"))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length,512000)" in text
 
 
+def _tree(root, named):
+    for name, body in named.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(body)
+
+
+def test_listing_and_index_read_the_same_files(spark, tmp_path):
+    named = {f"s{i % 3}/d{i % 4}/e/f{i}.py": b"x" * (i * 7) for i in range(40)}
+    named |= {"top.md": b"", "s0/sp ace/%41+b.go": b"ab", "s1/\u00e9/\u4e2d.rs": b"\xff"}
+    _tree(tmp_path, named)
+    for root in (str(tmp_path), f"{tmp_path}/", f"file://{tmp_path}"):
+        rows = files.scan_files(spark, root).collect()
+        assert {r.file_path: (bytes(r.content), r.size_bytes) for r in rows} == {k: (v, len(v)) for k, v in named.items()}
+        assert len(rows) == len(named) and {r.scan_id for r in rows} == {"top.md", "s0", "s1", "s2"}
+    indexed = files.scan_files_by_index(spark, str(tmp_path)).collect()
+    plain = {(r.file_path, bytes(r.content)) for r in indexed}
+    assert plain == set(named.items())
+
+
+def test_skipped_directories_are_not_entered_nor_dropped_files_opened(spark, tmp_path):
+    import os
+
+    _tree(tmp_path, {"a/x.py": b"1", "a/vendor/y.py": b"2", "a/big.py": b"3" * 99, "a/z.bin": b"4", "a/axpy": b"5", "a/b/U.PY": b"6"})
+    os.symlink(tmp_path / "a", tmp_path / "a" / "loop")
+    listed = directories.list_tree(spark, str(tmp_path), skipped=["vendor"], extensions=[".py"], max_bytes=50)
+    assert {(r.path, r["size"]) for r in listed.collect()} == {("a/x.py", 1), ("a/b/U.PY", 1)}
+    kept = files.scan_files(spark, str(tmp_path), "s", supported_only=True, skip_vendor=True, max_bytes=50)
+    assert {r.file_path for r in kept.collect()} == {"a/x.py", "a/b/U.PY"}
+    # A file that goes between listing and reading is empty, and the rest is read.
+    gone = directories.list_tree(spark, str(tmp_path), skipped=["vendor"])
+    (tmp_path / "a" / "z.bin").unlink()
+    read = {r.path: bytes(r.content) for r in directories.read_files(gone, str(tmp_path)).collect()}
+    assert read["a/z.bin"] == b"" and read["a/x.py"] == b"1"
+
+
+def test_empty_and_missing_roots(spark, tmp_path):
+    assert files.scan_files(spark, str(tmp_path)).count() == 0
+    assert files.scan_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_written_files_come_back(spark, tmp_path):
+    rows = [("a/b.py", "x\r\n\u00e9"), ("c.md", ""), ("d/e/f.js", None)]
+    df = spark.createDataFrame(rows, "file_path string, content string")
+    written = directories.write_files(df, str(tmp_path))
+    assert {(r.path, r["size"]) for r in written.collect()} == {("a/b.py", 5), ("c.md", 0), ("d/e/f.js", 0)}
+    assert {r.file_path: bytes(r.content).decode() for r in files.scan_files(spark, str(tmp_path)).collect()} == {
+        k: v or "" for k, v in rows}
+    with pytest.raises(Exception, match="leaves its root"):
+        directories.write_files(spark.createDataFrame([("../x", "y")], "file_path string, content string"), str(tmp_path))
+
+
 def test_notebooks(make_files):
     code = {"cell_type": "code", "source": ["a = 1\n", "b = 2"]}
     single = {"cell_type": "code", "source": "c = 3"}
