@@ -40,7 +40,32 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="codeveritas-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+#: Scratch folders of this process that have not been dropped, oldest first.
+_MADE: list[str] = []
+
+
+def scratch_made() -> list[str]:
+    """The scratch folders made so far and not dropped."""
+    return list(_MADE)
+
+
+def drop_scratch(spark: SparkSession, paths: list[str], *still_read: DataFrame) -> None:
+    """Removes scratch folders, but those that the frames `still_read` read from.
+
+    For use between steps whose results have been written: other frames over these folders can no
+    longer be read.
+    """
+    wanted = [file for df in still_read for file in df.inputFiles()]
+    for path in paths:
+        if path not in _MADE or any(path.rpartition("/")[2] in file for file in wanted):
+            continue
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _MADE.remove(path)
 
 
 def write_and_read(df: DataFrame, name: str) -> DataFrame:
