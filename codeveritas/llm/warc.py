@@ -8,9 +8,12 @@ one with the largest key is the response, all others revisit it.  Payloads short
 Digests are checked twice: a stored payload must have the SHA-256 it is filed under, and a record
 that is read back must have the SHA-1, the length and the Content-Length its header states.
 
-Defined results: a null payload is empty; a null address is written as an empty target; repeated
-rows (same key, same payload) are one record; a key with several payloads has a record for each; a
-null key sorts before all others; other columns are not read.
+What is read back comes from the archived header blocks alone: the key of a record from its extension
+field `Page-Key`, the key a revisit refers to from the record its WARC-Refers-To names.
+
+Defined results: every row is a record, repeated rows too; a null payload is empty; a null address is
+written as an empty target; of several records of the largest key one is the response; a null key
+sorts before all others and has no `Page-Key`; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +28,9 @@ from ..session import scratch_dir
 
 CRLF = "\r\n"
 
+#: Payload bytes of a bucket, whatever the size of the archive.
+BUCKET_BYTES = 128 << 20
+
 #: The RFC 4648 alphabet of base 32 (fixed values).
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -51,6 +57,7 @@ def _header(date: str) -> Column:
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", "[\\r\\n]", "")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:uuid:"), F.col("refers_record"), F.lit(">"))),
+        F.concat(F.lit("Page-Key: "), F.col("key").cast("string")),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.lit("Content-Type: text/html; charset=utf-8"),
         F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes")).cast("string")),
@@ -58,19 +65,24 @@ def _header(date: str) -> Column:
     return F.concat_ws(CRLF, *lines)
 
 
-def _record_id(key: Column, sha256: Column) -> Column:
-    """A stable name in the form of a UUID, from key and payload."""
-    h = F.md5(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("null")), sha256))
+def _record_id() -> Column:
+    """A stable name in the form of a UUID, from key, payload, address and number among equal rows."""
+    h = F.md5(F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("null")), F.hex("sha256"), F.col("copy").cast("string"), "url"))
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
 @dataclass
 class Archive:
-    """An archive: `headers` (one row a record) and `payloads` (sha256, payload; each once)."""
+    """An archive: `headers` (sha256, header; one row a record) and `payloads` (sha256, payload; each once)."""
 
     path: str
     headers: DataFrame
     payloads: DataFrame
+    table: str
+
+    def forget(self) -> None:
+        """Removes the catalog entry of the bucketed payloads; the files stay."""
+        self.headers.sparkSession.sql(f"drop table if exists {self.table}")
 
 
 def write_archive(
@@ -84,10 +96,12 @@ def write_archive(
 ) -> Archive:
     """Writes a record for every row below `path`, by default a new folder in the shared scratch.
 
-    Digests alone decide which record is the response: the largest key of a digest is a map-side
+    Rows equal in key, address and digest are counted, which combines map-side, and numbered from their
+    count.  Digests alone decide which record is the response: the largest key of a digest is a map-side
     combined maximum, and its way back to the rows is a join of two written tables, which Spark
     splits where a digest is hot.  Of payloads each task sends on one of a digest at most.  They
-    are stored bucketed by digest, so reading back moves the narrow headers only.
+    are stored bucketed by digest, in buckets of about BUCKET_BYTES, so reading back moves the narrow
+    headers only.
     """
     spark = pages.sparkSession
     path = path or scratch_dir(spark, "warc")
@@ -96,37 +110,36 @@ def write_archive(
         F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")).alias("url"),
         F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b"")).alias("payload"),
     ).withColumn("sha256", F.unhex(F.sha2("payload", 256)))
-    stored = rows.groupBy("sha256").agg(F.first("payload").alias("payload"))
-    name = f"warc_payloads_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (
-        stored.repartition(buckets, "sha256").write.bucketBy(buckets, "sha256")
-        .option("path", f"{path}/payloads").option("compression", "zstd").saveAsTable(name)
-    )
     facts = (
         rows.select(
             "key", "url", "sha256", F.sha1("payload").alias("sha1"),
             F.octet_length("payload").cast("long").alias("payload_bytes"),
         )
-        .groupBy("key", "sha256")
-        .agg(F.min("url").alias("url"), F.first("sha1").alias("sha1"), F.first("payload_bytes").alias("payload_bytes"))
+        .groupBy("key", "url", "sha256")
+        .agg(F.first("sha1").alias("sha1"), F.first("payload_bytes").alias("payload_bytes"), F.count(F.lit(1)).alias("copies"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+        .withColumn("record_id", _record_id()).drop("copy", "copies")
     )
     facts = _stored(facts, f"{path}/facts")
-    owners = _stored(facts.groupBy("sha256").agg(F.max("key").alias("owner")), f"{path}/owners")
-    linked = facts.join(owners, "sha256").withColumn(
-        "record_type",
-        F.when(F.col("key").eqNullSafe(F.col("owner")) | (F.col("payload_bytes") < least_bytes), "response")
-        .otherwise("revisit"),
+    owners = _stored(
+        facts.groupBy("sha256").agg(F.max(F.struct("key", "record_id")).alias("owner"), F.first("payload_bytes").alias("n")), f"{path}/owners")
+    held = owners.agg(F.sum("n")).first()[0] or 0
+    buckets = max(spark.sparkContext.defaultParallelism, -(-held // BUCKET_BYTES))
+    stored = rows.groupBy("sha256").agg(F.first("payload").alias("payload"))
+    name = f"warc_payloads_{uuid.uuid4().hex}"
+    (
+        stored.repartition(buckets, "sha256").write.bucketBy(buckets, "sha256")
+        .option("path", f"{path}/payloads").option("compression", "zstd").saveAsTable(name)
     )
-    revisit = F.col("record_type") == "revisit"
+    response = (F.col("record_id") == F.col("owner.record_id")) | (F.col("payload_bytes") < least_bytes)
     headers = (
-        linked.withColumn("record_id", _record_id(F.col("key"), F.col("sha256")))
-        .withColumn("refers_to", F.when(revisit, F.col("owner")))
-        .withColumn("refers_record", F.when(revisit, _record_id(F.col("owner"), F.col("sha256"))))
+        facts.join(owners.select("sha256", "owner"), "sha256")
+        .withColumn("record_type", F.when(response, "response").otherwise("revisit"))
+        .withColumn("refers_record", F.when(~response, F.col("owner.record_id")))
         .withColumn("payload_digest", base32_of_hex(F.col("sha1")))
-        .select("key", "record_id", "refers_to", "sha256", _header(date).cast("binary").alias("header"))
+        .select("sha256", _header(date).cast("binary").alias("header"))
     )
-    return Archive(path, _stored(headers, f"{path}/headers"), spark.table(name))
+    return Archive(path, _stored(headers, f"{path}/headers"), spark.table(name), name)
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
@@ -143,9 +156,15 @@ def read_archive(archive: Archive) -> DataFrame:
     """Original records: key, header, payload, and what the header states.
 
     The join puts header and payload together; a payload whose bytes do not have the digest it is
-    filed under, or the digest in the header, fails the job.
+    filed under, or the digest in the header, fails the job.  The records that revisits refer to are
+    looked up by record id.
     """
-    records = archive.headers.join(archive.payloads, "sha256")
+    def named(field: str) -> Column:
+        return F.regexp_extract(_field(field), "^<urn:uuid:(.*)>$", 1)
+
+    parsed = archive.headers.withColumn("key", _field("Page-Key").cast("long")).withColumn("record_id", named("WARC-Record-ID"))
+    responses = parsed.filter(_field("WARC-Type") == "response").select(F.col("record_id").alias("refers_record"), F.col("key").alias("refers_to"))
+    records = parsed.withColumn("refers_record", named("WARC-Refers-To")).join(responses, "refers_record", "left").join(archive.payloads, "sha256")
     sha256 = F.unhex(F.sha2("payload", 256))
     digest = base32_of_hex(F.sha1("payload"))
     stated = F.regexp_replace(_field("WARC-Payload-Digest"), "^sha1:", "")

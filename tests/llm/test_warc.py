@@ -52,10 +52,29 @@ def test_round_trip(spark, tmp_path):
     assert all(base64.b32encode(x).decode() == d for k, d, x in seen if k == "response")
 
 
+def test_every_row_is_a_record(spark):
+    """Rows that share key and payload keep their addresses, and rows equal in all columns their number."""
+    pages = spark.createDataFrame(
+        [(1, "http://a/x", "same"), (1, "http://a/y", "same"), (2, "http://a/z", "same"), (2, "http://a/z", "same"), (3, "u", "other"), (None, "v", "same")],
+        "page_id long, url string, html string").repartition(3)
+    rows = warc.read_archive(warc.write_archive(pages)).collect()
+    address = lambda r: bytes(r.header).decode().split("WARC-Target-URI: ")[1].split("\r\n")[0]
+    assert sorted((r.key or 0, address(r)) for r in rows) == [
+        (0, "v"), (1, "http://a/x"), (1, "http://a/y"), (2, "http://a/z"), (2, "http://a/z"), (3, "u")]
+    assert len({r.record_id for r in rows}) == 6
+    assert sorted((r.key or 0, r.record_type, r.refers_to) for r in rows if r.key != 3) == [
+        (0, "revisit", 2), (1, "revisit", 2), (1, "revisit", 2), (2, "response", None), (2, "revisit", 2)]
+    named = {r.record_id: r for r in rows}
+    for r in rows:
+        if r.record_type == "revisit":
+            refers = bytes(r.header).decode().split("WARC-Refers-To: <urn:uuid:")[1].split(">")[0]
+            assert named[refers].record_type == "response" and named[refers].payload == r.payload
+
+
 def test_least_bytes_and_repeated_rows(spark):
     pages = spark.createDataFrame([(1, "a", "xy"), (2, "b", "xy"), (3, "c", "long text"), (4, "d", "long text"), (4, "d", "long text")], "page_id long, url string, html string")
-    got = {r.key: r.record_type for r in warc.read_archive(warc.write_archive(pages, least_bytes=5)).collect()}
-    assert got == {1: "response", 2: "response", 3: "revisit", 4: "response"}
+    got = sorted((r.key, r.record_type) for r in warc.read_archive(warc.write_archive(pages, least_bytes=5)).collect())
+    assert got == [(1, "response"), (2, "response"), (3, "revisit"), (4, "response"), (4, "revisit")]
     assert warc.read_archive(warc.write_archive(pages.limit(0))).count() == 0
 
 
