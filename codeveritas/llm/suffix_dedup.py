@@ -339,7 +339,11 @@ def dedup(
     Remaining text drops the bytes of characters that a removal has cut; the digest does not.
     """
     rows = identified(docs, id_col, text_col, carry)
-    found = rows.join(duplicate_runs(rows), ["id", "tie"], "left")
+    # All joins with texts read the same three columns, so Spark exchanges the texts once.
+    texts = rows.select("id", "tie", "text")
+    found = texts.join(duplicate_runs(texts), ["id", "tie"], "left")
+    if carry:
+        found = found.join(rows.select("id", "tie", "carried"), ["id", "tie"])
     schema = "id long, {carried} n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>> {text}"
     carried = f"carried {rows.schema['carried'].dataType.simpleString()}," if carry else ""
     schema = schema.format(carried=carried, text=", text string" if with_text else "")
