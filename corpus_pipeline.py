@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows of its predecessor and returns a
 DataFrame; the caller writes it as Parquet and reads it back as the next stage's input.  All but
-the last return the columns they got.  Nulls, repeated rows, empty texts and empty tables follow
+the last return the columns they got.  A stage begins by removing the intermediate tables of the one
+before it, whose result has been written by then; so the disk holds those of one stage.  Nulls, repeated rows, empty texts and empty tables follow
 the docstrings of the operators.
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from codeveritas.llm import decontaminate, jaccard_join, mixing, suffix_dedup, toxicity
 from codeveritas.llm.base import table
-from codeveritas.session import write_and_read
+from codeveritas.session import drop_scratch, scratch_made, write_and_read
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +48,30 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mix(docs).filter("taken > 0")
 
 
+#: Intermediate tables of the stage that ran last.
+_LEFT: list[str] = []
+
+
+def _tidy(stage, first: bool = False):
+    """The stage, after the tables that the stage before has left, unless `docs` is read from them."""
+
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not first:
+            drop_scratch(spark, _LEFT, docs)
+        before = set(scratch_made())
+        out = stage(spark, docs, sf_dir)
+        _LEFT[:] = [path for path in scratch_made() if path not in before]
+        return out
+
+    return staged
+
+
 STAGES = [
-    ("toxicity", toxicity_stage),
-    ("ngram_jaccard_join", near_duplicates_stage),
-    ("suffix_array_dedup", substrings_stage),
-    ("benchmark_decontamination", decontamination_stage),
-    ("mixing", mixing_stage),
+    ("toxicity", _tidy(toxicity_stage, first=True)),
+    ("ngram_jaccard_join", _tidy(near_duplicates_stage)),
+    ("suffix_array_dedup", _tidy(substrings_stage)),
+    ("benchmark_decontamination", _tidy(decontamination_stage)),
+    ("mixing", _tidy(mixing_stage)),
 ]
 
 #: A trained model decides the first stage, which SQL cannot express.
