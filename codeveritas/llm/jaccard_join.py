@@ -13,8 +13,9 @@ that are heavy anywhere last, so prefixes hold rare ones; any order gives the sa
 * What is left is verified on the whole texts.
 
 Only components are asked for, so a pair whose members are known to be connected needs no
-verification.  In a first round a group meets just the first and the preceding group of each list
-of a shingle, in order of size, and a class the first class of its group: as many pairs as rows.  A
+verification.  In a first round a group meets two others at most, of the first and of the preceding
+groups of its lists, in order of size, those it shares most lists with, and a class the first class of
+its group: two pairs a group and one a class, so the links are about as many as the classes.  A
 second round takes all pairs of a list that lie in different components; as these have a member
 outside of the list's largest component, a list of thousands of near copies costs what its few
 outsiders cost.
@@ -172,6 +173,12 @@ def _overlap(x, y, percent: int):
     return F.ceil((x + y) * float(percent) / (100 + percent) - 1e-9)
 
 
+def _may_overlap(n1, n2, words, percent: int):
+    """The bound from bitmaps of the parities of two sets, given as pairs of words."""
+    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in words), F.lit(0))
+    return n1 + n2 - differ >= 2 * _overlap(n1, n2, percent)
+
+
 def _plausible(n1, p1, n2, p2, percent: int):
     """Size filter, and the overlap that is left if the shared shingle is the first one of both."""
     left = 1 + F.least(n1 - 1 - p1, n2 - 1 - p2)
@@ -205,9 +212,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
     bits = [f"b{k}" for k in range(BITMAP)]
     one = classes.select(F.col("node").alias("a"), F.col("n").alias("n1"), *[F.col(b).alias(f"x{b}") for b in bits])
     two = classes.select(F.col("node").alias("b"), F.col("n").alias("n2"), *[F.col(b).alias(f"y{b}") for b in bits])
-    differ = sum((F.bit_count(F.col(f"x{b}").bitwiseXOR(F.col(f"y{b}"))) for b in bits), F.lit(0))
     both = pairs.join(one, "a").join(two, "b")
-    both = both.filter(F.col("n1") + F.col("n2") - differ >= 2 * _overlap(F.col("n1"), F.col("n2"), percent))
+    both = both.filter(_may_overlap(F.col("n1"), F.col("n2"), [(F.col(f"x{b}"), F.col(f"y{b}")) for b in bits], percent))
     left_over = write_and_read(both.select("a", "b"), "pairs")
     needed = write_and_read(_mostly_of(texts, left_over.selectExpr("explode(array(a, b)) as node")), "pair-texts")
     left = needed.select(F.col("node").alias("a"), F.col("text").alias("left"))
@@ -259,12 +265,15 @@ def _labelled(rows: DataFrame, percent: int) -> DataFrame:
         .select("shingle", "grp", "n", "p", "prev", "head")
     )
     lists = write_and_read(lists, "shingle-lists")
-    near = None
+    # Of the preceding and of the first groups of its lists, each group meets the one it shares most of them with.
+    met = None
     for other in ("prev", "head"):
         o = lambda f, other=other: F.col(f"{other}.{f}")
         some = lists.filter(F.col(other).isNotNull() & (o("grp") != F.col("grp")) & _plausible(F.col("n"), F.col("p"), o("n"), o("p"), percent))
-        some = some.select(*_pair(F.col("grp"), o("grp")))
-        near = some if near is None else near.unionByName(some)
+        some = some.select("grp", o("grp").alias("other"), F.lit(other).alias("as"))
+        met = some if met is None else met.unionByName(some)
+    most = met.groupBy("grp", "as", "other").count().groupBy("grp", "as").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
+    near = most.select(*_pair(F.col("grp"), F.col("other")))
     g1 = groups.select(F.col("grp").alias("a"), F.col("hub").alias("h1"))
     g2 = groups.select(F.col("grp").alias("b"), F.col("hub").alias("h2"))
     between = near.distinct().join(g1, "a").join(g2, "b").select(*_pair(F.col("h1"), F.col("h2")))
@@ -284,9 +293,13 @@ def _labelled(rows: DataFrame, percent: int) -> DataFrame:
     weights = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("w"))
     modes = weights.groupBy("shingle").agg(F.max_by("component", F.struct("w", "component")).alias("mode"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     placed = write_and_read(placed.join(modes.select("shingle", "mode"), "shingle"), "open-lists")
-    odd = placed.filter("component <> mode").select("shingle", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "p", "component")])
-    rest = odd.join(placed.select("shingle", "node", "n", "p", "component"), "shingle").filter(
+    # The bitmaps of open lists travel with their rows, so a pair without a chance never leaves the join.
+    bits = [f"b{k}" for k in range(BITMAP)]
+    placed = write_and_read(placed.select("shingle", "node", "n", "p", "component", "mode").join(classes.select("node", *bits), "node"), "open-rows")
+    odd = placed.filter("component <> mode").select("shingle", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "p", "component")], *[F.col(b).alias(f"x{b}") for b in bits])
+    rest = odd.join(placed.drop("mode"), "shingle").filter(
         (F.col("component1") != F.col("component")) & _plausible(F.col("n1"), F.col("p1"), F.col("n"), F.col("p"), percent)
+        & _may_overlap(F.col("n1"), F.col("n"), [(F.col(f"x{b}"), F.col(b)) for b in bits], percent)
     )
     second = rest.select(*_pair(F.col("node1"), F.col("node"))).distinct().join(first, ["a", "b"], "left_anti")
     more = write_and_read(_verified(second, classes, texts, percent), "second-links")
