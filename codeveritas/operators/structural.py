@@ -1,4 +1,4 @@
-"""Structural rules over Python syntax nodes and JavaScript lines."""
+"""Structural rules over Python syntax nodes and JavaScript tokens."""
 
 from __future__ import annotations
 
@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
-from ..functions.text import WORD, WS
-from . import rules, syntax
+from . import rules, scripts, syntax
 from .findings import imports_as_findings, map_severity
 from .symbols import KEY, is_js, is_python, js_imports, python_imports
 
@@ -39,24 +38,26 @@ PYTHON_RULES = {
     ),
 }
 
-JS_RULES = [
-    {
+JS_RULES = {
+    "prompt-injection-concat-js": {
         "rule_id": "prompt-injection-concat-js",
-        "pattern": rf"\+[{WS}]*[{WORD}.$]*(?-i:{INPUT_WORDS_CONCAT})",
         "category": "prompt_injection",
         "severity": "high",
         "message": "Outside input is concatenated.",
-        "fix": None,
+        "words": INPUT_WORDS_CONCAT,
+        "kind": "punct",
+        "text": "+",
     },
-    {
+    "prompt-injection-template-literal": {
         "rule_id": "prompt-injection-template-literal",
-        "pattern": rf"`[^`]*\$\{{[^}}`]*(?-i:{INPUT_WORDS_TEMPLATE})[^}}`]*\}}",
         "category": "prompt_injection",
         "severity": "high",
         "message": "Outside input is part of a template literal.",
-        "fix": None,
+        "words": INPUT_WORDS_TEMPLATE,
+        "kind": "template",
+        "text": "`",
     },
-]
+}
 
 
 def _subtree(nodes: Column, node: Column) -> Column:
@@ -182,9 +183,17 @@ _PREDICATES = {
 _PYTHON_TRIGGER = r"api_key|eval|exec|completions|\bformat\b|[fF][rR]?['\"]|[rR][fF]['\"]"
 
 
-def python_rule_findings(files: DataFrame) -> DataFrame:
-    """Findings of the Python structural rules."""
-    candidates = files.where(is_python() & F.rlike("code", F.lit(_PYTHON_TRIGGER)))
+def may_match_python() -> Column:
+    return is_python() & F.rlike("code", F.lit(_PYTHON_TRIGGER))
+
+
+def try_nodes(nodes: Column) -> Column:
+    """Calls are compared with the try blocks of their file, not with all of its nodes."""
+    return F.filter(nodes, lambda x: x["type"].isin("Try", "TryStar"))
+
+
+def python_finding_array() -> Column:
+    """Findings of one file from its columns code, nodes and tries (``try_nodes``)."""
     nodes, code = F.col("nodes"), F.col("code")
 
     def of_node(node: Column) -> Column:
@@ -211,37 +220,63 @@ def python_rule_findings(files: DataFrame) -> DataFrame:
         return F.filter(F.array(*made), lambda f: f.isNotNull())
 
     interesting = F.filter(nodes, lambda x: x["type"].isin("Assign", "Call", "JoinedStr"))
-    found = F.flatten(F.transform(interesting, of_node)).cast(rules.FINDING_ARRAY)
-    # Calls are compared with the try blocks of their file, not with all of its nodes.
-    tries = F.filter(nodes, lambda x: x["type"].isin("Try", "TryStar"))
+    return F.flatten(F.transform(interesting, of_node)).cast(rules.FINDING_ARRAY)
+
+
+def python_rule_findings(files: DataFrame) -> DataFrame:
+    """Findings of the Python structural rules."""
     return (
-        candidates.withColumn("nodes", syntax.python_nodes("code"))
-        .withColumn("tries", tries)
-        .select(*KEY, F.inline(found))
+        files.where(may_match_python())
+        .withColumn("nodes", syntax.python_nodes("code"))
+        .withColumn("tries", try_nodes(F.col("nodes")))
+        .select(*KEY, F.inline(python_finding_array()))
     )
 
 
-def js_rule_findings(files: DataFrame) -> DataFrame:
-    """Text forms of the two JavaScript rules (there is no JavaScript tree).
+def may_match_js() -> Column:
+    content = F.col("content")
+    words = F.rlike(content, F.lit(f"{INPUT_WORDS_CONCAT}|{INPUT_WORDS_TEMPLATE}"))
+    return is_js() & (content.contains("+") | content.contains("`")) & words
+
+
+def js_finding_array() -> Column:
+    """Findings of one script from its columns content and tokens.
 
-    Concatenation is looked for in each line.  A template literal may span
-    lines: it is looked for in the whole text and reported where it starts,
-    once per line.
+    A rule fires at a plus whose right operand, or a template literal whose
+    substitutions, name outside input; once per line, where they begin.
     """
-    scripts = files.where(is_js())
-    content = F.col("content")
-    concat, template = JS_RULES
-    starts = F.array_distinct(
-        text.match_lines(content, f"()({template['pattern']})", ignore_case=True)
-    )
-    of_template = F.transform(
-        starts,
-        lambda n: rules.finding(template, n, F.get(text.lines_of(content), n - 1)),
-    )
-    found = F.concat(
-        rules.finding_array(content, [concat]), of_template.cast(rules.FINDING_ARRAY)
+    tokens = F.col("script_tokens")
+
+    def lines_of_rule(rule: dict) -> Column:
+        def fires(t: Column) -> Column:
+            within = F.slice(tokens, t["id"] + 2, t["last"] - t["id"])
+            named = F.exists(
+                within, lambda x: (x["kind"] == "name") & F.rlike(x["text"], F.lit(rule["words"]))
+            )
+            return F.when((t["kind"] == rule["kind"]) & (t["text"] == rule["text"]), named)
+
+        return F.array_distinct(
+            F.transform(F.filter(tokens, lambda t: F.coalesce(fires(t), F.lit(False))), lambda t: t["line"])
+        )
+
+    def of_rule(rule: dict, lines: Column) -> Column:
+        return F.transform(
+            lines_of_rule(rule), lambda n: rules.finding(rule, n, F.get(lines, n - 1))
+        )
+
+    def found(lines: Column) -> Column:
+        return F.concat(*[of_rule(rule, lines) for rule in JS_RULES.values()])
+
+    return arrays.let(text.lines_of(F.col("content")), found).cast(rules.FINDING_ARRAY)
+
+
+def js_rule_findings(files: DataFrame) -> DataFrame:
+    """Findings of the two JavaScript rules, from the tokens of scripts."""
+    return (
+        files.where(may_match_js())
+        .withColumn("script_tokens", scripts.script_tokens("content"))
+        .select(*KEY, F.inline(js_finding_array()))
     )
-    return scripts.select(*KEY, F.inline(found))
 
 
 def import_rule_findings(files: DataFrame) -> DataFrame:
