@@ -38,6 +38,29 @@ REFERENCE_SLOTS = {
 }
 FEATURES = list(REFERENCE_SLOTS)
 
+# The features of each group, as the structs below name them.
+LINE_FIELDS = [
+    "avg_line_length", "max_line_length", "std_line_length", "blank_line_ratio",
+    "avg_indentation", "max_indentation", "std_indentation", "trailing_whitespace_ratio",
+    "comment_density", "inline_comment_ratio",
+]
+TOKEN_FIELDS = [
+    "keyword_ratio", "for_loop_ratio", "while_loop_ratio", "if_ratio", "try_except_ratio",
+    "operator_diversity", "builtin_usage_count", "token_entropy", "unique_token_ratio",
+    "bigram_repetition_score",
+]
+NODE_FIELDS = {
+    "shape": [
+        "ast_depth", "ast_node_count", "ast_unique_node_types", "ast_branching_factor",
+        "max_nesting_depth", "num_functions", "num_classes", "import_count", "has_docstrings",
+    ],
+    "complexity": ["cyclomatic_complexity", "avg_function_complexity"],
+    "naming": [
+        "avg_identifier_length", "max_identifier_length", "std_identifier_length",
+        "snake_case_ratio", "single_char_ratio", "underscore_prefix_ratio", "identifier_entropy",
+    ],
+}
+
 FUNCTION_TYPES = ["FunctionDef", "AsyncFunctionDef"]
 DOCUMENTED_TYPES = [*FUNCTION_TYPES, "ClassDef", "Module"]
 BRANCH_TYPES = [
@@ -256,6 +279,18 @@ def node_features(nodes: Column) -> Column:
     )
 
 
+def feature_struct(code: Column, tokens: Column, nodes: Column) -> Column:
+    """The four feature groups of one text as nested structs."""
+    return F.struct(
+        line_features(code).alias("lines"), char_entropy(code).alias("char_entropy"),
+        token_features(tokens).alias("token"), node_features(nodes).alias("node"),
+    )
+
+
+_GROUPS = ["{0}.lines.*", "{0}.char_entropy", "{0}.token.*", "{0}.node.shape.*",
+           "{0}.node.complexity.*", "{0}.node.naming.*"]
+
+
 def style_features(files: DataFrame) -> DataFrame:
     """Feature row of every Python file.
 
@@ -263,33 +298,37 @@ def style_features(files: DataFrame) -> DataFrame:
     token features and has zeros for the syntax features.
     """
     code = F.col("code")
-    blank = text.is_blank(code)
     parts = syntax.with_syntax(files).select(
-        *KEY,
-        blank.alias("blank"),
-        line_features(code).alias("lines"),
-        char_entropy(code).alias("char_entropy"),
-        token_features(F.col("tokens")).alias("token"),
-        node_features(F.col("nodes")).alias("node"),
-    )
-    flat = parts.select(
-        *KEY, "blank", "lines.*", "char_entropy", "token.*", "node.shape.*",
-        "node.complexity.*", "node.naming.*",
+        *KEY, text.is_blank(code).alias("blank"),
+        feature_struct(code, F.col("tokens"), F.col("nodes")).alias("f"),
     )
+    flat = parts.select(*KEY, "blank", *[g.format("f") for g in _GROUPS])
     return flat.select(
         *KEY, *[F.when(F.col("blank"), 0.0).otherwise(F.col(f)).alias(f) for f in FEATURES]
     )
 
 
+def feature_array(features: Column, names: list[str]) -> Column:
+    """Clean values of a ``feature_struct`` as an array in the order of ``names``."""
+    lines, token = features["lines"], features["token"]
+    node = features["node"]
+    fields = {
+        **{n: lines[n] for n in LINE_FIELDS}, "char_entropy": features["char_entropy"],
+        **{n: token[n] for n in TOKEN_FIELDS},
+        **{n: node[group][n] for group, of in NODE_FIELDS.items() for n in of},
+    }
+    return F.array(*[_clean(fields[n]) for n in names])
+
+
 def clean_features(df: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
     """Null, NaN and infinite values become 0."""
+    return df.withColumns({c: _clean(F.col(c)) for c in columns})
 
-    def clean(name: str) -> Column:
-        x = F.col(name).cast("double")
-        bad = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-        return F.when(bad, 0.0).otherwise(x)
 
-    return df.withColumns({c: clean(c) for c in columns})
+def _clean(value: Column) -> Column:
+    x = value.cast("double")
+    bad = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.when(bad, 0.0).otherwise(x)
 
 
 def features_batch(files: DataFrame) -> DataFrame:

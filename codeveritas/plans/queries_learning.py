@@ -280,22 +280,25 @@ def _(spark, sf):
     return scored.select("doc_id", F.round("probability", 6).alias("probability"))
 
 
-@query("predict_files", None)
-def _(spark, sf):
-    # Trained on every module with a label; scores all modules.
+def module_model(spark, sf):
+    """A forest trained on every module with a label, and the features of all modules."""
     labels = views.table(spark, sf, "labels").select(
         "doc_id", (1 - F.col("quality")).cast("int").alias("label")
     )
-    modules = views.modules(spark, sf)
     features = write_and_read(
-        style.features_batch(modules).withColumn(
+        style.features_batch(views.modules(spark, sf)).withColumn(
             "doc_id", F.regexp_extract("file_path", "m([0-9]+)[.]py$", 1).cast("bigint")
         ),
         "module-features",
     )
     train = features.join(labels, "doc_id")
-    fitted = training.train_forest(train, key="doc_id", trees=10, depth=5, folds=2)
-    scored = training.predict(fitted.model, features)
+    return training.train_forest(train, key="doc_id", trees=10, depth=5, folds=2).model, features
+
+
+@query("predict_files", None)
+def _(spark, sf):
+    model, features = module_model(spark, sf)
+    scored = training.predict(model, features)
     return scored.select(
         "scan_id", "file_path", F.round("probability", 6).alias("model_probability")
     )

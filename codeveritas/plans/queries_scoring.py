@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import analytics, dependencies, rules, scoring, symbols, watermark
+from ..operators import analytics, dependencies, rules, scoring, symbols, training, watermark
 from ..operators.symbols import KEY
 from . import oracle as o
 from . import trust_report as plan
@@ -134,13 +134,65 @@ def _(spark, sf):
     return parts.groupBy("scan_id", "section").agg(F.sum(items).cast("bigint").alias("items"))
 
 
-@query("scan_corpus_structural", None)
+# Modules: every file is Python, imports one unknown package, and has one or two structural findings
+# in its closing statement and one for each of its two imports.  A comment line that is empty but for
+# its sign ends in a space, so a file with as many as a mark has bits counts as marked.
+_MODULES = [
+    o.base(views.MODULE_COLUMNS),
+    "files AS (SELECT *, 'python' AS language FROM raw)",
+    o.LINES,
+    o.FINDINGS.replace("findings AS (", "line_findings AS (", 1),
+    "structural AS (SELECT scan_id, unnest(CASE doc_id % 7 WHEN 0 THEN ['high'] WHEN 1 THEN "
+    "['medium', 'low'] WHEN 3 THEN ['high'] WHEN 4 THEN ['high'] WHEN 5 THEN ['high'] ELSE [] END "
+    "|| ['medium', 'medium']) AS severity FROM files)",
+    "findings AS (SELECT scan_id, severity FROM line_findings UNION ALL SELECT * FROM structural)",
+    o.SEVERITY,
+    o.FINDING_SCORES,
+    f"ends AS (SELECT doc_id, count(*) FILTER (WHERE rtrim(line, {o.SPACE}) <> '' AND substr(line, "
+    f"length(rtrim(line, {o.SPACE})) + 1, 1) IN (' ', chr(9))) AS n, count(*) AS line_count "
+    "FROM lines GROUP BY 1)",
+    f"totals AS (SELECT scan_id, count(*) AS total_files, sum(line_count)::BIGINT AS total_lines, "
+    f"count(*) FILTER (WHERE n >= {views.BITS}) / count(*) * 100.0 AS watermark_score "
+    "FROM files JOIN ends USING (doc_id) GROUP BY 1)",
+]
+
+
+@query("scan_corpus_structural", with_(*_MODULES) + " SELECT scan_id, total_files, total_lines, "
+       "'python' AS languages, 40.0 AS authorship_score, findings_score, round(watermark_score, 6) "
+       "AS watermark_score, critical_count, high_count, medium_count, low_count, info_count, "
+       "round(0.35 * 40.0 + 0.4 * findings_score + 0.25 * watermark_score, 2) AS trust_score "
+       "FROM totals JOIN finding_scores USING (scan_id)")
 def _(spark, sf):
     tables = plan.scan_corpus(
         views.modules(spark, sf), views.registry(spark, sf), structural_rules=True,
         bits=views.BITS,
     )
-    return tables.scores().withColumn("languages", F.array_join("languages", ","))
+    return tables.scores().select(
+        "scan_id", "total_files", "total_lines",
+        F.array_join("languages", ",").alias("languages"), r6("authorship_score"),
+        "findings_score", r6("watermark_score"), *[f"{s}_count" for s in schemas.SEVERITIES],
+        "trust_score",
+    )
+
+
+@query("scan_with_model", "SELECT source AS scan_id, concat(source, '/src/m', doc_id, '.py') AS "
+       "file_path, 'ml_model' AS detection_method, 1::BIGINT AS unknown_imports, true AS agrees "
+       "FROM documents")
+def _(spark, sf):
+    # The compiled model inside the scan against the fitted pipeline over the feature table.
+    from .queries_learning import module_model
+
+    model, features = module_model(spark, sf)
+    tables = plan.scan_corpus(
+        views.modules(spark, sf), views.registry(spark, sf), model=model, structural_rules=True,
+        bits=views.BITS,
+    )
+    direct = training.predict(model, features).select(*KEY, F.col("probability").alias("direct"))
+    penalised = dependencies.penalised(F.col("direct"), F.col("unknown_imports"))
+    return tables.authorship.join(direct, KEY).select(
+        *KEY, "detection_method", "unknown_imports",
+        (F.abs(F.col("ai_probability") - penalised) <= 1e-9).alias("agrees"),
+    )
 
 
 # ---------------------------------------------------------------------------

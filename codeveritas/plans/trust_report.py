@@ -7,38 +7,89 @@ text.  Everything after it works on these rows only.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import text
 from ..operators import (
-    dependencies, findings, rules, scoring, structural, symbols, watermark,
+    dependencies, ensemble, findings, rules, scoring, scripts, structural, style, symbols, syntax,
+    watermark,
 )
 from ..operators.symbols import KEY
 from ..session import write_and_read
 from ..sources.files import coerce_language
 
 
+def _with_trees(files: DataFrame, model: ensemble.Ensemble | None, structural_rules: bool) -> DataFrame:
+    """Adds tokens and nodes of the files that need them, each parsed once.
+
+    A trained model needs them of every Python file, the structural rules of
+    those only whose text holds a word that a rule looks for.
+    """
+    rules_apply = structural.may_match_python() if structural_rules else F.lit(False)
+    parsed = symbols.is_python() if model is not None else rules_apply
+    added = {"nodes": syntax.python_nodes(F.when(parsed, F.col("code")))}
+    if model is not None:
+        added["tokens"] = syntax.python_tokens(F.when(parsed, F.col("code")))
+    if structural_rules:
+        added["script_tokens"] = scripts.script_tokens(
+            F.when(structural.may_match_js(), F.col("content"))
+        )
+    out = files.withColumns(added)
+    if structural_rules:
+        out = out.withColumn("tries", structural.try_nodes(F.col("nodes")))
+        out = out.withColumn("structural", F.concat(
+            F.when(rules_apply, structural.python_finding_array()).otherwise(F.array().cast(rules.FINDING_ARRAY)),
+            structural.js_finding_array(),
+        ))
+    if model is not None:
+        code = F.col("code")
+        out = out.withColumn("style", F.when(
+            symbols.is_python() & ~text.is_blank(code),
+            style.feature_struct(code, F.col("tokens"), F.col("nodes")),
+        ))
+        out = out.withColumn("model_input", F.when(
+            F.col("style").isNotNull(), style.feature_array(F.col("style"), model.features)
+        ))
+    return out
+
+
 def file_facts(
     files: DataFrame,
     *,
     bits: int = watermark.DEFAULT_BITS,
-    model_column: str | None = None,
+    model: ensemble.Ensemble | None = None,
+    structural_rules: bool = False,
     line_rules: list[dict] = rules.LINE_RULES,
 ) -> DataFrame:
-    """One row per prepared file, computed where the file is read."""
+    """One row per prepared file, computed where the file is read.
+
+    ``model`` is a compiled ensemble (``ensemble.compile_model``): features and
+    probability of Python files are then derived in the same pass, as are the
+    findings of the structural rules.
+    """
     code, content = F.col("code"), F.col("content")
-    model = F.col(model_column) if model_column else None
-    return coerce_language(files).select(
+    files = coerce_language(files)
+    if model is not None or structural_rules:
+        files = _with_trees(files, model, structural_rules)
+    scored = None
+    if model is not None:
+        scored = F.when(
+            F.col("model_input").isNotNull(), ensemble.probability(model, F.col("model_input"))
+        )
+    return files.select(
         *KEY,
         "language",
         "size_bytes",
         symbols.line_profile(code)["line_count"].alias("line_count"),
         symbols.function_total(code).alias("function_count"),
-        scoring.base_probability(code, model).alias("base"),
-        scoring.detection_method(code, model).alias("detection_method"),
+        scoring.base_probability(code, scored).alias("base"),
+        scoring.detection_method(code, scored).alias("detection_method"),
         symbols.import_array(code).alias("imports"),
         rules.finding_array(content, line_rules).alias("findings"),
+        *([F.col("structural")] if structural_rules else []),
         watermark.extracted_payload(content, bits).alias("payload"),
     )
 
@@ -51,6 +102,13 @@ def findings_of(facts: DataFrame) -> DataFrame:
     return facts.select(*KEY, F.inline("findings"))
 
 
+def structural_of(facts: DataFrame) -> DataFrame:
+    """Findings of the structural rules and of the import rules, from the facts."""
+    return facts.select(*KEY, F.inline("structural")).unionByName(
+        findings.imports_as_findings(imports_of(facts))
+    )
+
+
 class ScanTables:
     """The tables of a finished scan, each a lazy DataFrame over the facts."""
 
@@ -120,20 +178,23 @@ def scan_corpus(
     claims: DataFrame | None = None,
     structural_rules: bool = False,
     external_findings: DataFrame | None = None,
-    model_column: str | None = None,
+    model: PipelineModel | ensemble.Ensemble | None = None,
     bits: int = watermark.DEFAULT_BITS,
 ) -> ScanTables:
     """Runs a scan over prepared files.
 
     The facts are written once to the shared scratch folder: they feed five
-    roll-ups, and re-deriving them would re-read and re-score all text.
+    roll-ups, and re-deriving them would re-read and re-score all text.  With a
+    trained ``model``, structural rules or both it is still one pass.
     """
+    if isinstance(model, PipelineModel):
+        model = ensemble.compile_model(files.sparkSession, model)
     facts = write_and_read(
-        file_facts(files, bits=bits, model_column=model_column), "file-facts"
+        file_facts(files, bits=bits, model=model, structural_rules=structural_rules), "file-facts"
     )
     extra: dict[str, DataFrame] = {}
     if structural_rules:
-        extra["structural"] = structural.structural_findings(files)
+        extra["structural"] = structural_of(facts)
     if external_findings is not None:
         extra["external"] = external_findings
     return ScanTables(facts, registry, claims, extra, bits)
