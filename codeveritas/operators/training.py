@@ -19,6 +19,7 @@ from .. import schemas
 from ..functions import text
 from ..functions.ranking import rank_by_hash, seeded_hash
 from ..session import write_and_read
+from ..sources import csv_chunks
 from . import style
 
 SEED = 42
@@ -32,10 +33,13 @@ BROADCAST_GROUPS = 200_000
 
 def load_samples(spark: SparkSession, *paths: str, code: str = "code", label: str = "label",
                  problem_id: str = "problem_id") -> DataFrame:
-    """CSV files with a code, a label and a problem column, concatenated."""
+    """CSV files with a code, a label and a problem column, concatenated.
+
+    Code spans lines inside quotes; files are nevertheless read in chunks.
+    """
     frames = []
     for path in paths:
-        raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+        raw = csv_chunks.read_csv(spark, path, [code, label, problem_id])
         frames.append(samples_of(raw, code, label, problem_id))
     out = frames[0]
     for frame in frames[1:]:
