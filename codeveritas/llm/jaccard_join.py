@@ -13,12 +13,12 @@ that are heavy anywhere last, so prefixes hold rare ones; any order gives the sa
 * What is left is verified on the whole texts.
 
 Only components are asked for, so a pair whose members are known to be connected needs no
-verification.  In a first round a group meets two others at most, of the first and of the preceding
-groups of its lists, in order of size, those it shares most lists with, and a class the first class of
-its group: two pairs a group and one a class, so the links are about as many as the classes.  A
-second round takes all pairs of a list that lie in different components; as these have a member
-outside of the list's largest component, a list of thousands of near copies costs what its few
-outsiders cost.
+verification.  In a first round a group meets the PARTNERS groups it shares most lists with, among the
+first and the preceding group of each of its lists, in order of size, and a class the first class of
+its group.  In a second round a class outside of the largest component of a list meets the classes
+of that component beside it.  The last round takes all pairs of a list that still lie in different
+components; as these have a member outside of the list's largest component, a list of thousands of near
+copies costs what its few outsiders cost.
 
 Defined results: text without words, or null, has an empty set and is alone; with fewer than WIDTH
 words the whole sequence is the one shingle; rows that share an id, null ids and repeated rows
@@ -51,6 +51,9 @@ BITMAP = 16
 #: Bits of the bitmap that keeps texts without a pair from being exchanged (a fixed 1 MB).
 SIEVE_BITS = 23
 
+#: Partners that a group, or class, meets in the first rounds; pairs beyond them are left to the last round.
+PARTNERS = 6
+
 #: A shingle in so many different sets of one Arrow batch counts as heavy; the heaviest are kept.
 HEAVY_IN_BATCH = 2
 MOST_HEAVY = 1 << 20
@@ -222,6 +225,31 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
     return whole.mapInArrow(_similar(percent), "a long, b long")
 
 
+def _closest(met: DataFrame, own: str) -> DataFrame:
+    """Of each row's partners (own, other; once for each list they share) the PARTNERS most frequent."""
+    order = Window.partitionBy(own).orderBy(F.desc("count"), "other")
+    return met.groupBy(own, "other").count().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PARTNERS)
+
+
+def _merged(member: DataFrame, links: DataFrame) -> DataFrame:
+    """`member` (node, component, ...) after links between nodes: only the components that links join, each
+    pair of them once, go through the rounds that find the new ones."""
+    ends = member.select("node", "component")
+    joined = links.join(ends.select(F.col("node").alias("a"), F.col("component").alias("x")), "a")
+    joined = joined.join(ends.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
+    up = components(joined.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    up = up.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return write_and_read(
+        member.join(up, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root"), "members")
+
+
+def _open_lists(placed: DataFrame) -> DataFrame:
+    """Rows of the lists that hold several components, with the largest of them as `mode`."""
+    weights = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("w"))
+    modes = weights.groupBy("shingle").agg(F.max_by("component", F.struct("w", "component")).alias("mode"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    return placed.join(modes.select("shingle", "mode"), "shingle")
+
+
 def _pair(x, y):
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -244,11 +272,6 @@ def _labelled(rows: DataFrame, percent: int) -> DataFrame:
         narrow.filter("n > 0").groupBy("set1", "set2").agg(F.min(F.struct("node", "n", "grp", *[f"b{k}" for k in range(BITMAP)])).alias("c")).select("set1", "set2", "c.*"),
         "classes",
     )
-    copies = (
-        narrow.filter("n > 0").select("node", "set1", "set2")
-        .join(classes.select("set1", "set2", F.col("node").alias("first")), ["set1", "set2"])
-        .select(F.col("first").alias("a"), F.col("node").alias("b")).filter("a <> b")
-    )
     groups = classes.groupBy("grp").agg(F.min("node").alias("hub"))
     texts = texts.select("node", "text")
 
@@ -265,50 +288,65 @@ def _labelled(rows: DataFrame, percent: int) -> DataFrame:
         .select("shingle", "grp", "n", "p", "prev", "head")
     )
     lists = write_and_read(lists, "shingle-lists")
-    # Of the preceding and of the first groups of its lists, each group meets the one it shares most of them with.
+    # Of the preceding and of the first groups of its lists, a group meets those it shares most lists with.
     met = None
     for other in ("prev", "head"):
         o = lambda f, other=other: F.col(f"{other}.{f}")
         some = lists.filter(F.col(other).isNotNull() & (o("grp") != F.col("grp")) & _plausible(F.col("n"), F.col("p"), o("n"), o("p"), percent))
-        some = some.select("grp", o("grp").alias("other"), F.lit(other).alias("as"))
+        some = some.select("grp", o("grp").alias("other"))
         met = some if met is None else met.unionByName(some)
-    most = met.groupBy("grp", "as", "other").count().groupBy("grp", "as").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
-    near = most.select(*_pair(F.col("grp"), F.col("other")))
+    near = _closest(met, "grp").select(*_pair(F.col("grp"), F.col("other")))
     g1 = groups.select(F.col("grp").alias("a"), F.col("hub").alias("h1"))
     g2 = groups.select(F.col("grp").alias("b"), F.col("hub").alias("h2"))
     between = near.distinct().join(g1, "a").join(g2, "b").select(*_pair(F.col("h1"), F.col("h2")))
     within = classes.select("node", "grp").join(groups, "grp").filter("node <> hub").select(*_pair(F.col("node"), F.col("hub")))
     first = write_and_read(between.unionByName(within).distinct(), "first-pairs")
-    links = write_and_read(_verified(first, classes, texts, percent), "first-links")
-    found = components(links)
+    alone = classes.select("node", "grp", "n", F.col("node").alias("component"))
+    member = _merged(alone, write_and_read(_verified(first, classes, texts, percent), "first-links"))
 
-    # All other pairs of a list, or of a group, whose members are not connected yet.
-    member = classes.select("node", "grp", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    member = write_and_read(member, "members")
+    # Lists, and groups, whose members are not all connected yet, with the bitmaps of their rows.
     placed = lists.select("shingle", "grp", "p").unionByName(
         groups.join(member.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi"), "grp")
         .select(F.col("grp").alias("shingle"), "grp", F.lit(0).cast("int").alias("p"))
     )
-    placed = placed.join(member, "grp")
-    weights = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("w"))
-    modes = weights.groupBy("shingle").agg(F.max_by("component", F.struct("w", "component")).alias("mode"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    placed = write_and_read(placed.join(modes.select("shingle", "mode"), "shingle"), "open-lists")
-    # The bitmaps of open lists travel with their rows, so a pair without a chance never leaves the join.
     bits = [f"b{k}" for k in range(BITMAP)]
-    placed = write_and_read(placed.select("shingle", "node", "n", "p", "component", "mode").join(classes.select("node", *bits), "node"), "open-rows")
-    odd = placed.filter("component <> mode").select("shingle", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "p", "component")], *[F.col(b).alias(f"x{b}") for b in bits])
-    rest = odd.join(placed.drop("mode"), "shingle").filter(
-        (F.col("component1") != F.col("component")) & _plausible(F.col("n1"), F.col("p1"), F.col("n"), F.col("p"), percent)
-        & _may_overlap(F.col("n1"), F.col("n"), [(F.col(f"x{b}"), F.col(b)) for b in bits], percent)
-    )
-    second = rest.select(*_pair(F.col("node1"), F.col("node"))).distinct().join(first, ["a", "b"], "left_anti")
-    more = write_and_read(_verified(second, classes, texts, percent), "second-links")
-
-    # What the first round connected goes on as one link a node.
-    known = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    every = components(known.unionByName(more).unionByName(copies))
-    labelled = narrow.select("id", "node", "n").join(every, "node", "left")
-    return labelled.withColumn("component", F.coalesce("component", "node"))
+    open_rows = _open_lists(placed.join(member, "grp").select("shingle", "node", "n", "p", "component"))
+    open_rows = write_and_read(open_rows.join(classes.select("node", *bits), "node"), "open-rows")
+
+    def may_link(suffix: str):
+        other = {c: F.col(f"{c}{suffix}") for c in ("n", "p", "component", *bits)}
+        return (
+            (other["component"] != F.col("component")) & _plausible(other["n"], other["p"], F.col("n"), F.col("p"), percent)
+            & _may_overlap(other["n"], F.col("n"), [(other[b], F.col(b)) for b in bits], percent)
+        )
+
+    # Second round: rows outside the largest component of a list meet its closest rows by size, before and after.
+    rest = Window.partitionBy("shingle").orderBy("n", "node")
+    row = F.when(F.col("component") == F.col("mode"), F.struct("node", "n", "p", "component", *bits))
+    beside = open_rows.withColumn("below", F.last(row, True).over(rest.rowsBetween(Window.unboundedPreceding, -1)))
+    beside = beside.withColumn("above", F.first(row, True).over(rest.rowsBetween(1, Window.unboundedFollowing))).filter("component <> mode")
+    met = None
+    for side in ("below", "above"):
+        some = beside.select("node", "n", "p", "component", *bits, *[F.col(f"{side}.{c}").alias(f"{c}_o") for c in ("node", "n", "p", "component", *bits)])
+        some = some.filter(F.col("node_o").isNotNull() & may_link("_o")).select("node", F.col("node_o").alias("other"))
+        met = some if met is None else met.unionByName(some)
+    second = _closest(met, "node").select(*_pair(F.col("node"), F.col("other"))).distinct().join(first, ["a", "b"], "left_anti")
+    second = write_and_read(second, "second-pairs")
+    member = _merged(member, write_and_read(_verified(second, classes, texts, percent), "second-links"))
+
+    # Third round: all other pairs of a list that lie in different components.
+    relabelled = open_rows.select("shingle", "node", "n", "p").join(member.select("node", "component"), "node")
+    still = write_and_read(_open_lists(relabelled).join(classes.select("node", *bits), "node"), "still-open")
+    odd = still.filter("component <> mode").select("shingle", *[F.col(c).alias(f"{c}_o") for c in ("node", "n", "p", "component", *bits)])
+    rest = odd.join(still.drop("mode"), "shingle").filter(may_link("_o"))
+    third = rest.select(*_pair(F.col("node_o"), F.col("node"))).distinct().join(first.unionByName(second), ["a", "b"], "left_anti")
+    more = write_and_read(_verified(third, classes, texts, percent), "third-links")
+
+    # A copy is where its class is; the empty set is alone.
+    member = _merged(member, more)
+    labels = classes.select("set1", "set2", "node").join(member.select("node", "component"), "node").drop("node")
+    labelled = narrow.join(labels, ["set1", "set2"], "left")
+    return labelled.select("id", "node", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("node")).alias("component"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
