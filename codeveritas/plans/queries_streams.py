@@ -97,6 +97,7 @@ def _run(spark, start, name):
 
 @query("stream_latest_status", _LATEST_SQL)
 def _(spark, sf):
+    jobs.use_rocksdb_state(spark)
     changes = _run(
         spark, lambda out, cp: jobs.stream_latest_status(_event_stream(spark, sf), out, cp),
         "latest",
@@ -116,28 +117,48 @@ def _(spark, sf):
     return _run(spark, lambda out, cp: jobs.stream_to_table(rates, out, cp), "rate")
 
 
-@query("stream_stalled_scans", with_(o.EVENTS, _LAST) + " SELECT scan_id, status, epoch_us(ts) // 1000 "
-       "AS last_ts_ms FROM latest WHERE status NOT IN ('completed', 'failed') AND ts + "
-       "INTERVAL 600 SECOND <= (SELECT max(ts) FROM scan_events) - INTERVAL 1 MINUTE")
+# A scan stalls wherever the next event is more than the timeout away, and
+# fails too often wherever a run of failures reaches five; both once the watermark has passed.
+_STALLS = (
+    "passed AS (SELECT epoch_us(max(ts)) // 1000 - 60000 AS wm FROM scan_events), "
+    "ordered AS (SELECT scan_id, status, epoch_us(ts) // 1000 AS ms, sum(CASE WHEN status <> 'failed' "
+    "THEN 1 ELSE 0 END) OVER w AS grp, lead(epoch_us(ts) // 1000) OVER w AS next_ms, ts, event_id "
+    "FROM scan_events WINDOW w AS (PARTITION BY scan_id ORDER BY ts, event_id)), "
+    "failures AS (SELECT *, row_number() OVER (PARTITION BY scan_id, grp ORDER BY ts, event_id) AS k "
+    "FROM ordered WHERE status = 'failed')"
+)
+
+
+@query("stream_stalled_scans", with_(o.EVENTS, _STALLS) + " SELECT scan_id, status, ms AS last_ts_ms, "
+       "'timeout' AS reason FROM ordered, passed WHERE status NOT IN ('completed', 'failed') AND "
+       "ms + 600000 <= wm AND (next_ms IS NULL OR next_ms > ms + 600000) UNION ALL "
+       "SELECT scan_id, status, ms, 'errors' FROM failures, passed WHERE k = 5 AND ms <= wm")
 def _(spark, sf):
     jobs.use_rocksdb_state(spark)
     stalled = jobs.stream_stalled_scans(_event_stream(spark, sf))
     return _run(spark, lambda out, cp: jobs.stream_to_table(stalled, out, cp), "stalled")
 
 
-@query("stream_report_store", with_(o.EVENTS) + " SELECT scan_id, epoch_us(max(ts)) // 1000 "
-       "AS generated_ms, 50.0::DOUBLE AS trust_score FROM scan_events GROUP BY 1")
+@query("stream_report_store", with_(o.EVENTS, _LAST) + " SELECT scan_id, epoch_us(ts) AS generated_us, "
+       "event_id, status, error, (event_id % 100)::DOUBLE AS trust_score, "
+       "length(status)::BIGINT AS size FROM latest")
 def _(spark, sf):
+    # Every event is a report with a nested column; the store returns the last of each scan, whole.
     jobs.use_rocksdb_state(spark)
     made = _event_stream(spark, sf).select(
-        "scan_id", F.col("ts").alias("generated_at"), F.lit(50.0).alias("trust_score")
+        "scan_id", F.col("ts").alias("generated_at"), "event_id", "status", "error",
+        (F.col("event_id") % 100).cast("double").alias("trust_score"),
+        F.struct(F.length("status").cast("bigint").alias("size")).alias("detail"),
     )
     store = jobs.report_store(made)
     with jobs.no_idle_batches(spark):
         rows = _run(
             spark, lambda out, cp: jobs.run_batches(store, lambda b: b, out, cp, "update"), "store"
         )
-    return rows.select("scan_id", "generated_ms", "trust_score")
+    return rows.select(
+        "scan_id", F.unix_micros("generated_at").alias("generated_us"), "event_id", "status", "error",
+        "trust_score", "detail.size",
+    )
 
 
 def _document_stream(spark, sf, columns):
