@@ -8,14 +8,14 @@ from ..functions import text
 from ..operators import heuristics, style, symbols, syntax
 from ..operators.symbols import KEY
 from ..session import scratch_dir
-from ..sources import archives, directories, reports
+from ..sources import archives, directories, feature_store, reports
 from ..sources import files as files_source
 from . import oracle as o
 from . import views
 from .catalog import query
 from .oracle import q, with_
 
-RAW = o.base(views.FILE_COLUMNS)
+RAW = o.base(views.MIXED_COLUMNS)
 
 
 def long(name: str):
@@ -48,7 +48,7 @@ def _(spark, sf):
 
 
 @query("keep_supported", with_(RAW) + " SELECT scan_id, file_path, "
-       f"lower({views.EXT}) AS ext FROM raw WHERE doc_id % 9 <> 8")
+       f"lower({views.MIXED_EXT}) AS ext FROM raw WHERE doc_id % 9 <> 8")
 def _(spark, sf):
     return files_source.keep_supported(views.raw_files(spark, sf)).select(*KEY, "ext")
 
@@ -102,18 +102,20 @@ def _(spark, sf):
 
 
 @query("notebook_code", "SELECT source AS scan_id, "
-       f"{views.NOTEBOOK_PATH} AS file_path, sha256(concat(text, chr(10), chr(10), text, chr(10), "
-       "chr(10))) AS code_hash FROM documents WHERE doc_id % 5 <> 0")
+       f"{views.NOTEBOOK_PATH} AS file_path, CASE WHEN doc_id % 5 = 0 THEN 'raw' ELSE "
+       "sha256(concat(text, chr(10), chr(10), text, chr(10), chr(10))) END AS code_hash "
+       "FROM documents")
 def _(spark, sf):
     notebooks = files_source.notebook_code(views.notebooks(spark, sf))
     # The cut-off ones keep their raw text, which differs from any code text.
-    return notebooks.where(F.col("code") != F.col("content")).select(
-        *KEY, F.sha2(F.col("code").cast("binary"), 256).alias("code_hash")
+    digest = F.sha2(F.col("code").cast("binary"), 256)
+    return notebooks.select(
+        *KEY, F.when(F.col("code") == F.col("content"), "raw").otherwise(digest).alias("code_hash")
     )
 
 
-@query("detect_language", with_(RAW) + f" SELECT scan_id, file_path, coalesce({o.LANGUAGE}, "
-       "'unknown') AS language FROM raw")
+@query("detect_language", with_(RAW) + f" SELECT scan_id, file_path, CASE WHEN doc_id % 9 = 8 "
+       f"THEN 'unknown' ELSE {o.LANGUAGE} END AS language FROM raw")
 def _(spark, sf):
     return files_source.detect_language(views.raw_files(spark, sf)).select(*KEY, "language")
 
@@ -122,7 +124,7 @@ def _(spark, sf):
        "WHEN 7 THEN 'r' ELSE 'unknown' END AS language FROM documents")
 def _(spark, sf):
     upper = views.table(spark, sf, "documents").selectExpr(
-        "doc_id", f"upper(substr({views.EXT}, 2)) AS language"
+        "doc_id", f"upper(substr({views.MIXED_EXT}, 2)) AS language"
     )
     return files_source.coerce_language(upper)
 
@@ -218,8 +220,8 @@ def _(spark, sf):
         return rows.select("content_sha256", F.length("code").cast("bigint").alias("n_chars"))
 
     # The first run fills the store from half of the scans; the second adds the rest.
-    reports.feature_cache(hashed.where(F.col("scan_id").endswith("1")), path, compute)
-    return reports.feature_cache(hashed, path, compute)
+    feature_store.feature_cache(hashed.where(F.col("scan_id").endswith("1")), path, compute)
+    return feature_store.feature_cache(hashed, path, compute)
 
 
 @query("explode_archives", "SELECT source AS scan_id, 'src/main.py' AS file_path, strlen(text) "
@@ -352,8 +354,9 @@ def _(spark, sf):
 @query("shannon_entropy", with_(*o.CODE, o.ENTROPY) + " SELECT scan_id, file_path, "
        "round(coalesce(h, 0), 6) AS char_entropy FROM files LEFT JOIN entropy USING (doc_id)")
 def _(spark, sf):
-    return views.code(spark, sf).select(
-        *KEY, F.round(heuristics.char_entropy(F.col("code")), 6).alias("char_entropy")
+    files = heuristics.with_char_level(views.code(spark, sf), F.col("code"), F.lit(True))
+    return files.select(
+        *KEY, F.round(heuristics.LEVEL, 6).alias("char_entropy")
     )
 
 

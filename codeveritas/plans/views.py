@@ -20,13 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Extension and directory of a document by id.
-EXT = (
+# Extension of a document by id; every document is a supported file outside skipped folders.
+_EXT = (
     "CASE doc_id % 9 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.ts' WHEN 3 THEN '.java' "
-    "WHEN 4 THEN '.go' WHEN 5 THEN '.md' WHEN 6 THEN '.ipynb' WHEN 7 THEN '.R' ELSE '.bin' END"
+    "WHEN 4 THEN '.go' WHEN 5 THEN '.md' WHEN 6 THEN '.ipynb' WHEN 7 THEN '.R' ELSE '{}' END"
 )
-DIR = "CASE WHEN doc_id % 10 = 9 THEN 'vendor' ELSE 'src' END"
-PATH = f"concat(source, '/', {DIR}, '/f', doc_id, {EXT})"
+EXT = _EXT.format(".rs")
+PATH = f"concat(source, '/src/f', doc_id, {EXT})"
+
+# The same with unsupported files and skipped folders, for the operators that drop them.
+MIXED_EXT = _EXT.format(".bin")
+MIXED_DIR = "CASE WHEN doc_id % 10 = 9 THEN 'vendor' ELSE 'src' END"
+MIXED_PATH = f"concat(source, '/', {MIXED_DIR}, '/f', doc_id, {MIXED_EXT})"
 
 # Extra lines by document id: imports, code shapes, one risky line.
 IMPORT_LINES = (
@@ -58,6 +63,7 @@ RISKY_LINES = (
 FILE_COLUMNS = {
     "scan_id": "source", "file_path": PATH, "doc_id": "doc_id", "content": "text",
 }
+MIXED_COLUMNS = {**FILE_COLUMNS, "file_path": MIXED_PATH}
 CODE_COLUMNS = {
     **FILE_COLUMNS,
     "content": f"concat_ws(chr(10), {IMPORT_LINES}, {CODE_LINES}, {RISKY_LINES}, text)",
@@ -93,8 +99,8 @@ def _as_files(df: DataFrame) -> DataFrame:
 
 
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files, nothing added or filtered."""
-    return _as_files(_select(_documents(spark, sf_dir), FILE_COLUMNS))
+    """Documents as files of supported and other kinds, nothing added or filtered."""
+    return _as_files(_select(_documents(spark, sf_dir), MIXED_COLUMNS))
 
 
 def raw_code(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +109,7 @@ def raw_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare(raw_files(spark, sf_dir))
+    return prepare(_as_files(_select(_documents(spark, sf_dir), FILE_COLUMNS)))
 
 
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,7 +272,7 @@ UPLOAD_COLUMNS = {
     "doc_id": "doc_id",
     "name": (
         f"concat('Up', doc_id, CASE doc_id % 8 WHEN 0 THEN '.tar.gz' WHEN 1 THEN '.ZIP' "
-        f"WHEN 2 THEN '.7z' WHEN 3 THEN '.exe' WHEN 4 THEN '' ELSE {EXT} END)"
+        f"WHEN 2 THEN '.7z' WHEN 3 THEN '.exe' WHEN 4 THEN '' ELSE {MIXED_EXT} END)"
     ),
 }
 

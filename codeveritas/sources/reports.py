@@ -1,4 +1,4 @@
-"""Report, feature and metric stores."""
+"""Report and metric stores."""
 
 from __future__ import annotations
 
@@ -44,31 +44,5 @@ def reports_as_json(reports: DataFrame) -> DataFrame:
     return reports.select("scan_id", F.to_json(F.struct("*")).alias("report"))
 
 
-def feature_cache(files: DataFrame, path: str, compute) -> DataFrame:
-    """Features by content hash, computing only unseen content.
-
-    ``compute`` maps a (content_sha256, code) frame to one row per hash.  New
-    rows are appended to ``path``; the result has one row per distinct content.
-    Copies are combined map-side first, so only unseen distinct text moves.
-    """
-    spark = files.sparkSession
-    wanted = files.select("content_sha256", "code")
-    try:
-        known = spark.read.parquet(path)
-    except Exception as missing:  # noqa: BLE001 - Spark raises one class for many causes
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        known = None
-    if known is not None:
-        wanted = wanted.join(known.select("content_sha256").distinct(), "content_sha256",
-                             "left_anti")
-    # Equal hashes mean equal code, so any copy may stand for the group.
-    fresh = compute(wanted.dropDuplicates(["content_sha256"]))
-    fresh.write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(
-        files.select("content_sha256").distinct(), "content_sha256", "left_semi"
-    )
-
-
 def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").json(path)

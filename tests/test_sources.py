@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeveritas.operators import training
-from codeveritas.sources import archives, directories, files, reports
+from codeveritas.sources import archives, directories, feature_store, files, reports
 
 
 def test_scan_files_filters_relative_to_root(spark, tmp_path):
@@ -187,19 +187,60 @@ def test_report_store(spark, tmp_path):
     assert [r.scan_id for r in live.collect()] == ["a"]
 
 
+def _hashed(make_files, *texts):
+    made = make_files(*[(f"f{k}.py", t) for k, t in enumerate(texts)])
+    return files.content_hash(made)
+
+
 def test_feature_cache_computes_only_new_content(spark, make_files, tmp_path):
     path = str(tmp_path / "cache")
-    seen = []
+    seen, plans = [], []
 
     def compute(rows):
-        seen.append(rows.count())
+        seen.append(sorted(r.code for r in rows.select("content_sha256", "code").distinct().collect()))
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
         return rows.select("content_sha256", F.length("code").alias("n"))
 
-    first = files.content_hash(make_files(("a.py", "x"), ("b.py", "x"), ("c.py", "yy")))
-    again = files.content_hash(make_files(("a.py", "x"), ("d.py", "zzz")))
-    assert reports.feature_cache(first, path, compute).count() == 2
-    assert {r.n for r in reports.feature_cache(again, path, compute).collect()} == {1, 3}
-    assert seen == [2, 1]
+    first, again = _hashed(make_files, "x", "x", "yy"), _hashed(make_files, "x", "zzz")
+    assert feature_store.feature_cache(first, path, compute).count() == 2
+    assert {r.n for r in feature_store.feature_cache(again, path, compute).collect()} == {1, 3}
+    assert {r.n for r in feature_store.feature_cache(first, path, compute).collect()} == {1, 2}
+    # The second run computes the changed file only, the third none; texts reach it without an exchange.
+    assert seen == [["x", "yy"], ["zzz"]]
+    assert all("Exchange" not in plan and "Join" not in plan for plan in plans)
+
+
+def test_no_exchange_of_the_feature_cache_carries_text(spark, make_files, tmp_path):
+    rows = _hashed(make_files, "x", "yy")
+    store = feature_store.FeatureStore(spark, str(tmp_path))
+    store.append(rows.select("content_sha256", F.length("code").alias("n")))
+    for frame in (store.unseen(rows.select("content_sha256").distinct()), feature_store.bitmap_rows(rows)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in plan and "code" not in plan
+
+
+def test_feature_store_with_full_bitmaps_and_many_segments(spark, make_files, tmp_path, monkeypatch):
+    """Bitmaps of 128 bits fill up, segments are joined into one; results stay exact."""
+    monkeypatch.setattr(feature_store, "BITS", 7)
+    monkeypatch.setattr(feature_store, "MOST_SEGMENTS", 3)
+    compute = lambda rows: rows.select("content_sha256", F.col("code").alias("kept"))
+    held = set()
+    for k in range(6):
+        texts = [f"t{i}" for i in range(40 * k, 40 * k + 60)]
+        held |= set(texts)
+        got = feature_store.feature_cache(_hashed(make_files, *texts), str(tmp_path), compute).collect()
+        assert sorted(r.kept for r in got) == sorted(texts)
+        store = feature_store.FeatureStore(spark, str(tmp_path))
+        assert sorted(r.kept for r in store.rows().collect()) == sorted(held)
+        assert len(store.segments()) <= 3
+    assert store.bitmap().selectExpr("bit_count(bit_or(bits))").count() == 1
+
+
+def test_feature_cache_without_files(spark, make_files, tmp_path):
+    none = _hashed(make_files, "x").limit(0)
+    compute = lambda rows: rows.select("content_sha256", F.length("code").alias("n"))
+    got = feature_store.feature_cache(none, str(tmp_path / "a"), compute)
+    assert got.columns == ["content_sha256", "n"] and got.count() == 0
 
 
 def test_samples_from_csv(spark, tmp_path):
