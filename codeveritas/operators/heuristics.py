@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import arrays, text
+from ..functions import arrays, histograms, text
 from ..functions.text import WORD, WS
 
 # ---------------------------------------------------------------------------
@@ -182,14 +182,13 @@ def char_entropy(code: Column) -> Column:
     return arrays.entropy_of_counts(F.transform(runs, F.length), F.length(code))
 
 
-def _entropy(code: Column, words: Column) -> Column:
+def _entropy(code: Column, words: Column, level: Column) -> Column:
     n = F.size(words)
     distinct = F.size(F.array_distinct(words)) / n
     repeated = arrays.let(
         arrays.pairs(words),
         lambda p: arrays.repeated_total(p) / F.greatest(F.size(p), F.lit(1)),
     )
-    level = char_entropy(code)
     points = (
         _steps(distinct, [(0.30, 0.7), (0.45, 0.5), (0.55, 0.3)], 0.0, below=True)
         + _steps(repeated, [(0.5, 0.6), (0.3, 0.4), (0.15, 0.2)], 0.0, below=False)
@@ -266,8 +265,13 @@ def _documentation(code: Column, line_count: Column) -> Column:
 
 
 @arrays.built_once
-def signals(code: Column) -> Column:
-    """The seven signals of one text as a struct of doubles."""
+def signals(code: Column, level: Column | None = None) -> Column:
+    """The seven signals of one text as a struct of doubles.
+
+    ``level`` is the text's character entropy where a column holds it
+    (``with_char_level``); else it is derived here, by sorting.
+    """
+    level = char_entropy(code) if level is None else level
 
     def over(parts: Column) -> Column:
         lines, solid, words = parts["lines"], parts["solid"], parts["words"]
@@ -276,7 +280,7 @@ def signals(code: Column) -> Column:
             arrays.let(lengths, lambda m: _uniformity(solid, m)).alias("line_length_uniformity"),
             _comment_pattern(lines).alias("comment_pattern"),
             _naming(words).alias("naming_regularity"),
-            _entropy(code, words).alias("entropy_signal"),
+            _entropy(code, words, level).alias("entropy_signal"),
             _structure(lines, solid).alias("structural_regularity"),
             _boilerplate(code).alias("boilerplate_ratio"),
             _documentation(code, F.size(lines)).alias("docstring_density"),
@@ -298,10 +302,20 @@ def mix(s: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
 
 
+LEVEL = "char_level"
+
+
+def with_char_level(files: DataFrame, code: Column, needed: Column) -> DataFrame:
+    """Adds the character entropy of the texts that need it, from histograms of Arrow batches."""
+    return files.withColumn(LEVEL, histograms.char_entropy(F.when(needed, code)))
+
+
 def heuristic_signals(files: DataFrame, column: str = "code") -> DataFrame:
     """Adds ``signals``; null for blank text, which has none."""
     code = F.col(column)
-    return files.withColumn("signals", F.when(~text.is_blank(code), signals(code)))
+    solid = ~text.is_blank(code)
+    levelled = with_char_level(files, code, solid)
+    return levelled.withColumn("signals", F.when(solid, signals(code, F.col(LEVEL)))).drop(LEVEL)
 
 
 def heuristic_score(files: DataFrame, column: str = "code") -> DataFrame:

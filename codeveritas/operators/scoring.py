@@ -16,15 +16,24 @@ WEIGHTS = {"authorship": 0.35, "findings": 0.40, "watermark": 0.25}
 ANOMALY = 0.6
 
 
-def base_probability(code: Column, model_probability: Column | None = None) -> Column:
+def with_char_level(files: DataFrame) -> DataFrame:
+    """Adds the character entropy that ``base_probability`` needs of files in other languages."""
+    needed = ~symbols.is_python() & ~text.is_blank(F.col("code"))
+    return heuristics.with_char_level(files, F.col("code"), needed)
+
+
+def base_probability(
+    code: Column, model_probability: Column | None = None, level: Column | None = None
+) -> Column:
     """Probability before the dependency penalty."""
     python = F.lit(0.5) if model_probability is None else F.coalesce(
         model_probability, F.lit(0.5)
     )
+    given = [] if level is None else [level]
     return (
         F.when(text.is_blank(code), 0.0)
         .when(symbols.is_python(), python)
-        .otherwise(arrays.let(heuristics.signals(code), heuristics.mix))
+        .otherwise(arrays.let(heuristics.signals(code, *given), heuristics.mix))
     )
 
 
@@ -51,12 +60,12 @@ def file_authorship(
     """
     code = F.col("code")
     model = F.col(model_column) if model_column else None
-    rows = coerce_language(files).select(
+    rows = with_char_level(coerce_language(files)).select(
         *KEY,
         "language",
         symbols.line_profile(code)["line_count"].alias("line_count"),
         symbols.function_total(code).alias("function_count"),
-        base_probability(code, model).alias("base"),
+        base_probability(code, model, F.col(heuristics.LEVEL)).alias("base"),
         detection_method(code, model).alias("detection_method"),
     )
     return finish_authorship(rows, unknown)

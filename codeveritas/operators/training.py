@@ -23,7 +23,6 @@ from ..sources import csv_chunks
 from . import style
 
 SEED = 42
-BROADCAST_GROUPS = 200_000
 
 
 # ---------------------------------------------------------------------------
@@ -72,23 +71,17 @@ def group_split(samples: DataFrame, test: float = 0.2, seed: int = SEED) -> Data
 
     Problems are ranked by a seeded hash and the first ceil(test * problems)
     are the test side, so the share of problems is exact.  Only the list of
-    problems is ranked; samples are marked by a join on it.
+    problems is ranked: the hash of the last one that is taken decides every
+    sample where it stands, so code does not move and nothing is joined.
     """
     groups = samples.select("problem_id").distinct().withColumn(
         "_h", seeded_hash(F.col("problem_id"), seed)
     )
     total = groups.count()
     cutoff = -int(-(test * total) // 1)
-    test_groups = (
-        rank_by_hash(groups, "_h", "_rank").where(F.col("_rank") <= cutoff).select("problem_id")
-    )
-    marked = test_groups.withColumn("is_test", F.lit(True))
-    if cutoff <= BROADCAST_GROUPS:
-        # The size is known, and samples carry text that should not move.
-        marked = F.broadcast(marked)
-    return samples.join(marked, "problem_id", "left").withColumn(
-        "is_test", F.coalesce("is_test", F.lit(False))
-    )
+    last = rank_by_hash(groups, "_h", "_rank").where(F.col("_rank") == cutoff).select("_h").first()
+    is_test = seeded_hash(F.col("problem_id"), seed) <= F.lit(last[0] if last else "")
+    return samples.withColumn("is_test", F.coalesce(is_test, F.lit(False)))
 
 
 def stratified_folds(samples: DataFrame, key: str, k: int = 5, seed: int = SEED) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import text
 from ..operators import (
-    dependencies, ensemble, findings, rules, scoring, scripts, structural, style, symbols, syntax,
-    watermark,
+    dependencies, ensemble, findings, heuristics, rules, scoring, scripts, structural, style,
+    symbols, syntax, watermark,
 )
 from ..operators.symbols import KEY
 from ..session import write_and_read
@@ -71,7 +71,7 @@ def file_facts(
     findings of the structural rules.
     """
     code, content = F.col("code"), F.col("content")
-    files = coerce_language(files)
+    files = scoring.with_char_level(coerce_language(files))
     if model is not None or structural_rules:
         files = _with_trees(files, model, structural_rules)
     scored = None
@@ -85,7 +85,7 @@ def file_facts(
         "size_bytes",
         symbols.line_profile(code)["line_count"].alias("line_count"),
         symbols.function_total(code).alias("function_count"),
-        scoring.base_probability(code, scored).alias("base"),
+        scoring.base_probability(code, scored, F.col(heuristics.LEVEL)).alias("base"),
         scoring.detection_method(code, scored).alias("detection_method"),
         symbols.import_array(code).alias("imports"),
         rules.finding_array(content, line_rules).alias("findings"),
