@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import dependencies, findings, rules, structural, symbols, watermark
+from ..operators import dependencies, findings, rule_index, rules, structural, symbols, watermark
 from ..operators.symbols import KEY
 from ..session import scratch_dir
 from . import oracle as o
@@ -142,6 +142,22 @@ def _(spark, sf):
     return found.select(*KEY, "rule_id", long("line_start"))
 
 
+# A rule for every part: thousands of patterns, one of which most lines cannot match.
+@query("scan_rule_table", with_(*o.CODE, o.LINES) + ", named AS (SELECT DISTINCT doc_id, scan_id, "
+       "file_path, line_no, unnest(regexp_extract_all(line, 'pkg_([0-9]+)[^0-9]', 1))::BIGINT AS k "
+       "FROM lines) SELECT scan_id, file_path, concat('part-', p_partkey) AS rule_id, line_no AS "
+       "line_start FROM named JOIN part ON k = p_partkey")
+def _(spark, sf):
+    table = views.table(spark, sf, "part").select(
+        F.concat(F.lit("part-"), "p_partkey").alias("rule_id"),
+        F.concat(F.lit("pkg_"), "p_partkey", F.lit("[^0-9]")).alias("pattern"),
+        F.lit("insecure_llm_call").alias("category"), F.lit("info").alias("severity"),
+        F.lit("named package").alias("message"), F.lit(None).cast("string").alias("fix"),
+    )
+    found = rule_index.scan_rule_table(views.code(spark, sf), table)
+    return found.select(*KEY, "rule_id", long("line_start"))
+
+
 _IMPORT_RULE = (
     "CASE WHEN registry = 'npm' AND is_from AND regexp_matches(module, '^[a-zA-Z@][a-zA-Z0-9./_-]*$') "
     "THEN 'ai-hallucinated-npm-import' WHEN registry = 'pypi' AND is_from AND "
