@@ -12,7 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HASH_DIGITS = 3  # 16^3 = 4096 buckets of an md5 key
+
+def hash_digits(df: DataFrame) -> int:
+    """Leading digits of an md5 key that cut it into 4,096 buckets, or 16 for every core if that is more."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(3, len(f"{16 * cores:x}"))
 
 
 def seeded_hash(key: Column, seed: int) -> Column:
@@ -26,7 +30,7 @@ def rank_by_hash(df: DataFrame, hash_column: str, rank: str, within: list[str] |
     however large, into equal ordered buckets.
     """
     within = within or []
-    bucketed = df.withColumn("_bucket", F.substring(hash_column, 1, HASH_DIGITS))
+    bucketed = df.withColumn("_bucket", F.substring(hash_column, 1, hash_digits(df)))
     sizes = bucketed.groupBy(*within, "_bucket").agg(F.count("*").alias("_n"))
     before = W.partitionBy(*within).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import hot_key_parts
 from .symbols import KEY
 
 # Standard-library modules that are never looked up.
@@ -18,9 +19,6 @@ PYTHON_STDLIB = [
 ]
 UNKNOWN_PENALTY = 0.10
 
-# Copies of the unknown-package list in the salted join below.
-SALTS = 16
-
 
 def lookup_name(registry: Column, module: Column) -> Column:
     """PyPI knows packages by their root, npm by the whole module string."""
@@ -64,14 +62,15 @@ def unknown_dependencies(imports: DataFrame, registry: DataFrame) -> DataFrame:
     """Every import occurrence of an unknown package.
 
     The join back is salted on the occurrence side, so one package imported by
-    a third of all files is spread over ``SALTS`` tasks; the other side is a
+    a third of all files is spread over many tasks; the other side is a
     list of distinct names, repeated once per salt.
     """
+    salts = hot_key_parts(imports)
     unknown = unknown_packages(imports, registry).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
     salted = checkable(imports).withColumn(
-        "salt", F.pmod(F.xxhash64("file_path", "line_no"), F.lit(SALTS)).cast("int")
+        "salt", F.pmod(F.xxhash64("file_path", "line_no"), F.lit(salts)).cast("int")
     )
     hits = salted.join(unknown, ["registry", "package", "salt"], "left_semi")
     return hits.select(*KEY, F.col("module").alias("package_name"), "line_no", "registry")

@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text
+from ..session import hot_key_parts
 from .symbols import KEY
 
 # Severity names of external rule engines, and the words that
 # make a file worth a closer review.
 ENGINE_SEVERITY = {"ERROR": "high", "WARNING": "medium", "INFO": "low"}
 REVIEW_WORDS = ["openai", "llm", "prompt", "gpt", "anthropic", "langchain"]
-# Slices of a scan whose first files are chosen apart; any number gives the same result.
-REVIEW_SLICES = 64
 REVIEW_CHARS = 4000
 
 SOURCE_RANK = {"structural": 0, "line": 1, "external": 2}
@@ -121,7 +120,7 @@ def review_candidates(files: DataFrame, n: int = 10) -> DataFrame:
         rank = F.row_number().over(W.partitionBy(*keys).orderBy("file_path"))
         return rows.withColumn("rank", rank).where(F.col("rank") <= n)
 
-    sliced = narrow.withColumn("slice", F.pmod(F.xxhash64("file_path"), F.lit(REVIEW_SLICES)))
+    sliced = narrow.withColumn("slice", F.pmod(F.xxhash64("file_path"), F.lit(hot_key_parts(files))))
     return (
         first_n(first_n(sliced, "scan_id", "slice"), "scan_id")
         .where("relevant")

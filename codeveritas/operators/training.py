@@ -274,6 +274,31 @@ def feature_importance(
     )
 
 
+def metrics_record(
+    metrics: DataFrame, trained: dict[str, Trained], features: list[str] = style.FEATURES
+) -> DataFrame:
+    """The record kept beside a model: its metrics, kind, parameters, search result and importances.
+
+    ``metrics`` has a row per model (column ``model``, the keys of ``trained``); importances
+    are of all features, the most important first.
+    """
+    spark = metrics.sparkSession
+    rows = []
+    for name, fitted in trained.items():
+        values = fitted.model.stages[-1].featureImportances.toArray().tolist()
+        ranked = sorted(zip(features, values, strict=True), key=lambda p: (-p[1], p[0]))
+        rows.append((
+            name, fitted.name, {k: str(v) for k, v in fitted.params.items()},
+            float(fitted.auc_mean), float(fitted.auc_std), ranked,
+        ))
+    described = spark.createDataFrame(
+        rows,
+        "model string, model_type string, best_params map<string, string>, cv_auc_mean double, "
+        "cv_auc_std double, feature_importances array<struct<feature: string, importance: double>>",
+    )
+    return metrics.join(F.broadcast(described), "model")
+
+
 def predict(model: PipelineModel, features: DataFrame, columns: list[str] = style.FEATURES):
     """Adds ``probability`` of class 1 to a feature table."""
     scored = model.transform(style.clean_features(features, columns))

@@ -11,11 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, hot_key_parts
 from .symbols import KEY
 
 DEFAULT_BITS = 64
-SALTS = 16
 
 
 def author_hash_of(author_id: Column, salt: Column) -> Column:
@@ -80,9 +79,10 @@ def embed_watermark(files: DataFrame, authors: DataFrame, bits: int = DEFAULT_BI
     if small is not None:
         joined = files.join(small, "author_id", "left")
     else:
-        parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        salts = hot_key_parts(files)
+        parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
         joined = (
-            files.withColumn("part", F.pmod(F.xxhash64("file_path"), F.lit(SALTS)).cast("int"))
+            files.withColumn("part", F.pmod(F.xxhash64("file_path"), F.lit(salts)).cast("int"))
             .join(known_authors.withColumn("part", parts), ["author_id", "part"], "left")
             .drop("part")
         )
@@ -161,14 +161,15 @@ def verify_watermark(
         .groupBy("scan_id", "payload")
         .agg(F.min("claimed_hash").alias("claimed_hash"))
     )
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    claimed_scans = expected.select("scan_id").distinct().withColumn("part", salts).withColumn(
+    salts = hot_key_parts(extracted)
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    claimed_scans = expected.select("scan_id").distinct().withColumn("part", every).withColumn(
         "has_claim", F.lit(True)
     )
-    part = F.pmod(F.xxhash64("file_path"), F.lit(SALTS)).cast("int")
+    part = F.pmod(F.xxhash64("file_path"), F.lit(salts)).cast("int")
     joined = (
         extracted.withColumn("part", part)
-        .join(expected.withColumn("part", salts), ["scan_id", "payload", "part"], "left")
+        .join(expected.withColumn("part", every), ["scan_id", "payload", "part"], "left")
         .join(claimed_scans, ["scan_id", "part"], "left")
     )
     watermarked = F.col("payload").isNotNull()

@@ -312,23 +312,31 @@ AUTHORS = (
     "AS salt, sha256(concat('author', s_suppkey, ':s', s_suppkey % 3)) AS author_hash "
     "FROM supplier)"
 )
-_BITS = "".join(
-    f" || lpad(bin(ascii(substr(author_hash, {k + 1}, 1))), 8, '0')" for k in range(N // 8)
-)[4:]
+
+
+def marked(n: int) -> str:
+    """`marked`: the files of `owned` (author_hash, null for none) with marks of n bits."""
+    bits = "".join(
+        f" || lpad(bin(ascii(substr(author_hash, {k + 1}, 1))), 8, '0')" for k in range(n // 8)
+    )[4:]
+    return (
+        "owned_lines AS (SELECT *, unnest(string_split(content, chr(10))) AS line, "
+        "generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM owned), "
+        f"carriers AS (SELECT *, CASE WHEN rtrim(line, {SPACE}) <> '' THEN sum(CASE WHEN "
+        f"rtrim(line, {SPACE}) <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) "
+        "END AS k FROM owned_lines), "
+        "marked_lines AS (SELECT *, CASE WHEN author_hash IS NULL THEN line ELSE "
+        f"concat(rtrim(line, {SPACE}), CASE WHEN k <= {n} THEN CASE WHEN substr({bits}, k::INT, 1) "
+        "= '0' THEN ' ' ELSE chr(9) END ELSE '' END) END AS marked_line FROM carriers), "
+        "marked AS (SELECT doc_id, scan_id, file_path, language, "
+        "string_agg(marked_line, chr(10) ORDER BY line_no) AS content FROM marked_lines "
+        "GROUP BY 1, 2, 3, 4)"
+    )
+
+
 MARKED = (
     "owned AS (SELECT f.*, a.author_hash FROM files f LEFT JOIN authors a ON a.author_id = "
-    "CASE WHEN doc_id % 3 <> 0 THEN concat('author', doc_id % 4) END), "
-    "owned_lines AS (SELECT *, unnest(string_split(content, chr(10))) AS line, "
-    "generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM owned), "
-    f"carriers AS (SELECT *, CASE WHEN rtrim(line, {SPACE}) <> '' THEN sum(CASE WHEN "
-    f"rtrim(line, {SPACE}) <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) "
-    "END AS k FROM owned_lines), "
-    "marked_lines AS (SELECT *, CASE WHEN author_hash IS NULL THEN line ELSE "
-    f"concat(rtrim(line, {SPACE}), CASE WHEN k <= {N} THEN CASE WHEN substr({_BITS}, k::INT, 1) "
-    "= '0' THEN ' ' ELSE chr(9) END ELSE '' END) END AS marked_line FROM carriers), "
-    "marked AS (SELECT doc_id, scan_id, file_path, language, "
-    "string_agg(marked_line, chr(10) ORDER BY line_no) AS content FROM marked_lines "
-    "GROUP BY 1, 2, 3, 4)"
+    "CASE WHEN doc_id % 3 <> 0 THEN concat('author', doc_id % 4) END), " + marked(N)
 )
 EXTRACTED = (
     "mark_lines AS (SELECT doc_id, unnest(string_split(content, chr(10))) AS line, "

@@ -354,11 +354,17 @@ def _(spark, sf):
     )
 
 
-@query("embed_codebase", with_(*o.PLAIN) + " SELECT scan_id, count(*) AS files_marked FROM files "
-       "GROUP BY 1")
+# Marks of the default 64 bits in every file, read back from where they were written.
+@query("embed_codebase", with_(*o.PLAIN, "owned AS (SELECT *, sha256('author1:') AS author_hash FROM files)",
+                               o.marked(watermark.DEFAULT_BITS))
+       + " SELECT scan_id, file_path, sha256(content) AS text_hash, count(*) OVER (PARTITION BY scan_id) "
+       "AS files_marked FROM marked")
 def _(spark, sf):
     output = scratch_dir(spark, "marked")
-    return watermark.embed_codebase(views.files(spark, sf), "author1", output)
+    counts = watermark.embed_codebase(views.files(spark, sf), "author1", output)
+    return spark.read.parquet(output).join(counts, "scan_id").select(
+        *KEY, F.sha2(F.col("content").cast("binary"), 256).alias("text_hash"), "files_marked"
+    )
 
 
 @query("extract_watermark", with_(*o.PLAIN, o.AUTHORS, o.MARKED, o.EXTRACTED) + " SELECT scan_id, "

@@ -18,7 +18,7 @@ from ..operators import (
     symbols, syntax, watermark,
 )
 from ..operators.symbols import KEY
-from ..session import write_and_read
+from ..session import hot_key_parts, write_and_read
 from ..sources.files import coerce_language
 
 
@@ -207,7 +207,6 @@ def trust_report(tables: ScanTables, generated_at: Column | None = None) -> Data
 
 
 REPORT_PART_ROWS = 1000
-SALTS = 16
 
 
 def report_parts(
@@ -220,17 +219,18 @@ def report_parts(
     row is kept and no group grows with the scan.  The part count of a scan is
     joined back salted, as one scan may hold a third of the rows.
     """
+    salts = hot_key_parts(rows)
     sized = (
         rows.groupBy("scan_id")
         .agg(F.ceil(F.count("*") / per_part).cast("int").alias("parts"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     spot = F.xxhash64(*order)
     part = F.pmod(spot, F.col("parts")).cast("int")
     columns = [c for c in rows.columns if c != "scan_id"]
     ordered = [F.col(c) for c in order] + [F.col(c) for c in columns if c not in order]
     return (
-        rows.withColumn("salt", F.pmod(F.shiftright(spot, 32), F.lit(SALTS)).cast("int"))
+        rows.withColumn("salt", F.pmod(F.shiftright(spot, 32), F.lit(salts)).cast("int"))
         .join(sized, ["scan_id", "salt"])
         .groupBy("scan_id", part.alias("part"))
         .agg(F.to_json(F.array_sort(F.collect_list(F.struct(*ordered)))).alias("items"))

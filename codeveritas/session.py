@@ -91,6 +91,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
+def hot_key_parts(df: DataFrame) -> int:
+    """Parts that the rows of one key are dealt into: two for every core, so they grow with the cluster."""
+    return max(16, 2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame | None:
     """The frame marked for broadcast, or None when it has more rows.
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import math
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from codeveritas.functions.ranking import rank_by_hash, running_totals, seeded_hash
 from codeveritas.operators import evaluation, training
+from codeveritas.sources.reports import write_metrics
 
 
 def test_rank_by_hash_is_a_global_rank(spark):
@@ -94,3 +96,27 @@ def test_training_finds_a_clear_signal(spark, tmp_path):
     assert metrics.accuracy > 0.9
     top = training.feature_importance(spark, fitted, ["a", "b"], top=1).first()
     assert top.feature == "a"
+    record = training.metrics_record(
+        evaluation.metrics_table(scored.withColumn("model", F.lit("m"))), {"m": fitted}, ["a", "b"]
+    )
+    write_metrics(record, str(tmp_path / "metrics"))
+    (part,) = (tmp_path / "metrics").glob("part-*.json")
+    kept = json.loads(part.read_text())
+    assert kept["model_type"] == "forest" and kept["best_params"]["numTrees"] == "8"
+    assert kept["cv_auc_mean"] == fitted.auc_mean and kept["accuracy"] == metrics.accuracy
+    assert [f["feature"] for f in kept["feature_importances"]] == ["a", "b"]
+    assert abs(sum(f["importance"] for f in kept["feature_importances"]) - 1) < 1e-9
+
+
+def test_group_split_marks_samples_where_they_stand(spark):
+    rows = [(k, f"p{k % 23}" if k % 31 else None) for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, problem_id string")
+    split = training.group_split(df, 0.2)
+    assert "Join" not in split._jdf.queryExecution().executedPlan().toString()
+    sides = {}
+    for r in split.collect():
+        sides.setdefault(r.problem_id, set()).add(r.is_test)
+    assert all(len(s) == 1 for s in sides.values()) and sides[None] == {False}
+    # 24 groups with the null one: 5 of them are the test side, unless null is among the first.
+    assert sum(s == {True} for s in sides.values()) in (4, 5)
+    assert training.group_split(df.limit(0)).count() == 0
