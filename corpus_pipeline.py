@@ -51,11 +51,16 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 #: Intermediate tables of the stage that ran last.
 _LEFT: list[str] = []
 
+#: Bytes of an Arrow batch, set for the session: Spark's own limit lets a batch of texts, its arrays and
+#: their copies take several hundred MB of an executor with two tasks.
+BATCH_BYTES = 16 << 20
+
 
 def _tidy(stage, first: bool = False):
     """The stage, after the tables that the stage before has left, unless `docs` is read from them."""
 
     def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         if not first:
             drop_scratch(spark, _LEFT, docs)
         before = set(scratch_made())
