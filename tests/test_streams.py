@@ -152,3 +152,23 @@ def test_batch_and_stream_agree_on_the_latest_stage(spark, rocksdb, tmp_path):
     newest = changes.groupBy("scan_id").agg(F.max_by(F.struct("updated_at", "status", "progress", "error"), "batch").alias("s")).select("scan_id", "s.*")
     batch = lifecycle.latest_status(spark.createDataFrame(rows, EVENTS)).select("scan_id", "updated_at", "status", "progress", "error")
     assert sorted(map(tuple, newest.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_findings_that_arrive_again_in_later_batches_are_dropped(spark, rocksdb, tmp_path):
+    schema = "scan_id string, file_path string, line_start int, rule_id string, severity string, ts timestamp"
+    batches = [
+        [("a", "f", 1, "r", "low", at(0)), ("a", "f", 2, "r", "low", at(1)), ("a", "f", 1, "r", "low", at(2))],
+        [("a", "f", 1, "r", "low", at(10)), ("b", "f", 1, "r", "low", at(11)), ("a", "f", 1, "s", "low", at(12))],
+        [("a", "f", 2, "r", "low", at(20)), ("a", "g", 1, "r", "low", at(21))],
+    ]
+    (tmp_path / "in").mkdir()
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"made{k}"))
+        (tmp_path / "in" / f"{k}.parquet").write_bytes(next((tmp_path / f"made{k}").glob("part-*.parquet")).read_bytes())
+        # Every batch is a run of its own, so the state also outlives restarts.
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        jobs.stream_to_table(jobs.stream_dedup_findings(stream), out, checkpoint).awaitTermination()
+    got = spark.read.parquet(out).select("scan_id", "file_path", "line_start", "rule_id").collect()
+    assert sorted(tuple(r) for r in got) == [
+        ("a", "f", 1, "r"), ("a", "f", 1, "s"), ("a", "f", 2, "r"), ("a", "g", 1, "r"), ("b", "f", 1, "r")]
