@@ -124,7 +124,8 @@ def write_archive(
     owners = _stored(
         facts.groupBy("sha256").agg(F.max(F.struct("key", "record_id")).alias("owner"), F.first("payload_bytes").alias("n")), f"{path}/owners")
     held = owners.agg(F.sum("n")).first()[0] or 0
-    buckets = max(spark.sparkContext.defaultParallelism, -(-held // BUCKET_BYTES))
+    # With fewer buckets than shuffle partitions Spark would exchange the payloads again on reading.
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // BUCKET_BYTES))
     stored = rows.groupBy("sha256").agg(F.first("payload").alias("payload"))
     name = f"warc_payloads_{uuid.uuid4().hex}"
     (
@@ -156,24 +157,28 @@ def read_archive(archive: Archive) -> DataFrame:
     """Original records: key, header, payload, and what the header states.
 
     The join puts header and payload together; a payload whose bytes do not have the digest it is
-    filed under, or the digest in the header, fails the job.  The records that revisits refer to are
-    looked up by record id.
+    filed under, or the digest in the header, fails the job, as does a revisit that does not name the
+    response of its payload.  Payloads that are revisited have one response, so one narrow row a
+    payload is joined, by the same key as the payload.
     """
     def named(field: str) -> Column:
         return F.regexp_extract(_field(field), "^<urn:uuid:(.*)>$", 1)
 
     parsed = archive.headers.withColumn("key", _field("Page-Key").cast("long")).withColumn("record_id", named("WARC-Record-ID"))
-    responses = parsed.filter(_field("WARC-Type") == "response").select(F.col("record_id").alias("refers_record"), F.col("key").alias("refers_to"))
-    records = parsed.withColumn("refers_record", named("WARC-Refers-To")).join(responses, "refers_record", "left").join(archive.payloads, "sha256")
+    responses = parsed.filter(_field("WARC-Type") == "response").groupBy("sha256").agg(F.max(F.struct("key", "record_id")).alias("response"))
+    records = parsed.join(responses, "sha256", "left").join(archive.payloads, "sha256")
+    refers = named("WARC-Refers-To")
+    refers_to = F.when(refers.isNotNull() & (refers == F.col("response.record_id")), F.col("response.key"))
+    unknown = refers.isNotNull() & ~F.coalesce(refers == F.col("response.record_id"), F.lit(False))
     sha256 = F.unhex(F.sha2("payload", 256))
     digest = base32_of_hex(F.sha1("payload"))
     stated = F.regexp_replace(_field("WARC-Payload-Digest"), "^sha1:", "")
     length = _field("Content-Length").cast("long")
     kind = _field("WARC-Type")
     size = F.octet_length("payload").cast("long")
-    sound = (sha256 == F.col("sha256")) & (digest == stated) & (length == F.when(kind == "revisit", 0).otherwise(size))
+    sound = ~unknown & (sha256 == F.col("sha256")) & (digest == stated) & (length == F.when(kind == "revisit", 0).otherwise(size))
     return records.select(
-        "key", "record_id", "refers_to", "header", "payload", kind.alias("record_type"),
+        "key", "record_id", refers_to.alias("refers_to"), "header", "payload", kind.alias("record_type"),
         size.alias("payload_bytes"),
         F.when(sound, digest).otherwise(
             F.raise_error(F.concat(F.lit("damaged record "), F.col("record_id")))
