@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, heuristics, style, training
+from ..operators import evaluation, style, training
 from ..session import scratch_dir, write_and_read
 from . import views
 from .catalog import query
@@ -197,31 +197,26 @@ def _(spark, sf):
 
 
 # ---------------------------------------------------------------------------
-# Models.  Text of the labelled documents, language-agnostic features.
+# Models over all style features of the labelled modules.
 # ---------------------------------------------------------------------------
 
-_FEATURES = [
-    "avg_line_length", "max_line_length", "std_line_length", "blank_line_ratio",
-    "avg_indentation", "trailing_whitespace_ratio", "comment_density", "inline_comment_ratio",
-    "char_entropy", "unique_ratio",
-]
 
+def _module_features(spark, sf):
+    """The features of all modules, by document."""
+    number = F.regexp_extract("file_path", "m([0-9]+)[.]py$", 1).cast("bigint")
+    features = style.features_batch(views.modules(spark, sf)).withColumn("doc_id", number)
+    return write_and_read(features, "module-features")
 
-def _feature_table(spark, sf):
-    from ..functions import arrays, text
-    from ..session import spread
-
-    code = F.col("code")
-    rows = spread(views.samples(spark, sf), "doc_id").select(
-        "doc_id", "label", "problem_id",
-        style.line_features(code).alias("f"),
-        heuristics.char_entropy(code).alias("char_entropy"),
-        arrays.let(
-            text.words_of(code), lambda w: arrays.ratio(F.size(F.array_distinct(w)), F.size(w))
-        ).alias("unique_ratio"),
+
+def _labelled(spark, sf, features):
+    labels = views.table(spark, sf, "labels").select(
+        "doc_id", (1 - F.col("quality")).cast("int").alias("label")
     )
-    flat = rows.select("doc_id", "label", "problem_id", "f.*", "char_entropy", "unique_ratio")
-    return write_and_read(flat.select("doc_id", "label", "problem_id", *_FEATURES), "features")
+    return features.join(labels, "doc_id").withColumn("problem_id", F.col("scan_id"))
+
+
+def _feature_table(spark, sf):
+    return _labelled(spark, sf, _module_features(spark, sf))
 
 
 def _small_space(rng):
@@ -232,13 +227,13 @@ def _small_space(rng):
 
 def _boosted(table):
     return training.train_boosted(
-        table, key="doc_id", features=_FEATURES, trials=2, folds=2, space=_small_space
+        table, key="doc_id", trials=2, folds=2, space=_small_space
     )
 
 
 def _forest(table):
     return training.train_forest(
-        table, key="doc_id", features=_FEATURES, trees=20, depth=6, folds=2
+        table, key="doc_id", trees=20, depth=6, folds=2
     )
 
 
@@ -246,7 +241,7 @@ def _forest(table):
 def _(spark, sf):
     table = training.group_split(_feature_table(spark, sf))
     fitted = _boosted(table.where("not is_test"))
-    scored = training.predict(fitted.model, table.where("is_test"), _FEATURES)
+    scored = training.predict(fitted.model, table.where("is_test"))
     return scored.select("doc_id", "label", F.round("probability", 6).alias("probability"))
 
 
@@ -254,7 +249,7 @@ def _(spark, sf):
 def _(spark, sf):
     table = training.group_split(_feature_table(spark, sf))
     fitted = _forest(table.where("not is_test"))
-    scored = training.predict(fitted.model, table.where("is_test"), _FEATURES)
+    scored = training.predict(fitted.model, table.where("is_test"))
     return scored.select("doc_id", "label", F.round("probability", 6).alias("probability"))
 
 
@@ -266,9 +261,7 @@ def _(spark, sf):
 
 @query("feature_importance", None)
 def _(spark, sf):
-    return training.feature_importance(
-        spark, _forest(_feature_table(spark, sf)), _FEATURES
-    )
+    return training.feature_importance(spark, _forest(_feature_table(spark, sf)))
 
 
 @query("save_and_load_model", None)
@@ -276,23 +269,14 @@ def _(spark, sf):
     table = _feature_table(spark, sf)
     path = scratch_dir(spark, "model")
     training.save_model(_forest(table), path)
-    scored = training.predict(training.load_model(path), table, _FEATURES)
+    scored = training.predict(training.load_model(path), table)
     return scored.select("doc_id", F.round("probability", 6).alias("probability"))
 
 
 def module_model(spark, sf):
     """A forest trained on every module with a label, and the features of all modules."""
-    labels = views.table(spark, sf, "labels").select(
-        "doc_id", (1 - F.col("quality")).cast("int").alias("label")
-    )
-    features = write_and_read(
-        style.features_batch(views.modules(spark, sf)).withColumn(
-            "doc_id", F.regexp_extract("file_path", "m([0-9]+)[.]py$", 1).cast("bigint")
-        ),
-        "module-features",
-    )
-    train = features.join(labels, "doc_id")
-    return training.train_forest(train, key="doc_id", trees=10, depth=5, folds=2).model, features
+    features = _module_features(spark, sf)
+    return _forest(_labelled(spark, sf, features)).model, features
 
 
 @query("predict_files", None)
