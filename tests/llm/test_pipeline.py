@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 
 import pytest
 
@@ -55,6 +56,28 @@ def test_each_stage_against_brute_force(spark):
 def test_stages_on_edge_cases(spark, edge, nothing, labels, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "twice the same row")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    ids = lambda rows: Counter(r.doc_id for r in rows)
     for docs in (edge, nothing):
         for name, stage in corpus_pipeline.STAGES:
+            before, rows = docs, docs.collect()
             docs = write_and_read(stage(spark, docs, str(tmp_path)), name)
+            kept = docs.collect()
+            if before is nothing or not rows:
+                assert not kept
+            if name != "mixing":
+                assert docs.columns == before.columns
+            if name == "toxicity":
+                # Rows stay whole, repeated ones and those without an id too.
+                assert not ids(kept) - ids(rows) and {tuple(r) for r in kept} <= {tuple(r) for r in rows}
+            elif name == "ngram_jaccard_join":
+                # The repeated row once; the two texts of one id differ and stay, as do texts without words.
+                assert ids(kept) == Counter({k: 1 if k == 7 else n for k, n in ids(rows).items()})
+            elif name == "suffix_array_dedup":
+                assert ids(kept) == ids(rows)
+                short = lambda x: sorted((r.doc_id or -1, r.text or "") for r in x if len((r.text or "").encode()) < 100)
+                assert not Counter(short(rows)) - Counter(short(kept))
+                assert all(r.n_words == "clash" for r in kept)
+            elif name == "benchmark_decontamination":
+                assert ids(kept) == Counter({k: n for k, n in ids(rows).items() if k != 7})
+            elif rows:
+                assert not ids(kept) - ids(rows) and all(0 < r.taken <= 2 * r.size for r in kept)
