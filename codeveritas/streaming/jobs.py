@@ -52,13 +52,13 @@ def read_table_stream(
     spark: SparkSession, folder: str, schema: StructType, file_name: str | None = None,
     max_files: int | None = None,
 ) -> DataFrame:
-    """Parquet files of a folder as a stream, each read once."""
+    """Parquet files of a folder, or of its table ``file_name``, a file or a folder, as a stream, each read once."""
     reader = spark.readStream.schema(schema)
-    if file_name:
-        reader = reader.option("pathGlobFilter", file_name)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+    # A pattern, as a stream takes no plain path of a single file; a name filter
+    # would look at the part files of a table that is a folder.
+    return reader.parquet(f"{folder}/{{{file_name}}}" if file_name else folder)
 
 
 def run_batches(

@@ -172,3 +172,18 @@ def test_findings_that_arrive_again_in_later_batches_are_dropped(spark, rocksdb,
     got = spark.read.parquet(out).select("scan_id", "file_path", "line_start", "rule_id").collect()
     assert sorted(tuple(r) for r in got) == [
         ("a", "f", 1, "r"), ("a", "f", 1, "s"), ("a", "f", 2, "r"), ("a", "g", 1, "r"), ("b", "f", 1, "r")]
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_a_table_is_streamed_whole_as_a_file_and_as_a_folder(spark, tmp_path, parts):
+    made, table = tmp_path / "made", tmp_path / "sf" / "events.parquet"
+    spark.range(100).repartition(parts or 1).write.parquet(str(made))
+    spark.range(7).write.parquet(str(tmp_path / "sf" / "other.parquet"))
+    if parts:
+        spark.read.parquet(str(made)).write.parquet(str(table))
+    else:
+        table.write_bytes(next(made.glob("part-*.parquet")).read_bytes())
+    stream = jobs.read_table_stream(spark, str(tmp_path / "sf"), spark.range(1).schema, "events.parquet")
+    out = str(tmp_path / "out")
+    jobs.stream_to_table(stream, out, str(tmp_path / "checkpoint")).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(100))
