@@ -1,10 +1,12 @@
 """Rule tables of any size, through an index of the literals their patterns need.
 
-Nearly every pattern has a factor: a plain string that each of its matches contains.  Factors of a block
-of rules form one automaton; a pass over the case-folded text tells which of them occur in which
+Nearly every pattern has a factor: a plain string that each of its matches contains.  Factors of a small
+table form one automaton; a pass over the case-folded text tells which of them occur in which
 line, and only these lines meet the rules of their factor, by a join on the factor, where the pattern
-decides.  Lines never meet rules that they cannot match.  Patterns without a factor are tried on all
-texts, as `rules.scan_rules` does.
+decides.  Lines never meet rules that they cannot match.  Of a larger table the automaton holds the
+heads of the factors only; where one occurs, the strings of its factors' lengths are looked up by a
+shuffled join, so texts are read once whatever the number of rules.  Patterns without a factor are
+tried on all texts, as `rules.scan_rules` does.
 """
 
 from __future__ import annotations
@@ -29,15 +31,20 @@ from .symbols import KEY
 # Workers get these functions by value, so executors need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Rules whose automaton and table a task holds; a larger table is scanned block by block.
+#: Rules whose automaton and table a task holds, and heads of factors of a larger table.
 BLOCK_RULES = 50_000
 
+#: Lengths of heads, the longest that gives few enough.
+HEADS = (3, 4, 6, 8, 12, 16)
+
 #: Shortest factor worth an entry; patterns without factors that one projection tries.
 LEAST_FACTOR, UNINDEXED = 3, 100
 
 RULE = ["rule_id", "pattern", "category", "severity", "message", "fix"]
 _PLACE = T.ArrayType(T.StructType([T.StructField("factor", T.IntegerType()), T.StructField("line", T.IntegerType())]))
 _PLACE_ARROW = pa.struct([("factor", pa.int32()), ("line", pa.int32())])
+_STRING = T.ArrayType(T.StructType([T.StructField("needs", T.StringType()), T.StructField("line", T.IntegerType())]))
+_STRING_ARROW = pa.struct([("needs", pa.string()), ("line", pa.int32())])
 
 
 def _runs(tokens, out: list[str], run: str) -> str:
@@ -112,6 +119,44 @@ def _places(factors: list[str]):
     return places
 
 
+def _strings(heads: list[tuple[str, list[int]]]):
+    """Distinct (string, line) of a folded text that have a head and the length of one of its factors."""
+
+    @F.arrow_udf(_STRING)
+    def strings(texts: pa.Array) -> pa.Array:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for head, lengths in heads:
+            automaton.add_word(head, (len(head), lengths))
+        automaton.make_automaton()
+        out = []
+        for code in texts.to_pylist():
+            code = code or ""
+            found, line, at, stop = set(), 0, 0, -1
+            for end, (size, lengths) in automaton.iter(code):
+                line += code.count("\n", at, end)
+                at = end
+                if stop < end:
+                    stop = code.find("\n", end)
+                    stop = len(code) if stop < 0 else stop
+                start = end - size + 1
+                found.update((code[start : start + n], line) for n in lengths if start + n <= stop)
+            out.append([{"needs": x, "line": n} for x, n in sorted(found, key=lambda x: (x[1], x[0]))])
+        return pa.array(out, type=pa.list_(_STRING_ARROW))
+
+    return strings
+
+
+def _heads(stored: DataFrame, most: int) -> list[tuple[str, list[int]]]:
+    """Heads of the factors, about ``most`` or short ones, and the lengths of the factors of each."""
+    needs = stored.where("needs is not null")
+    counts = needs.agg(*[F.approx_count_distinct(F.substring("needs", 1, n)) for n in HEADS]).first()
+    size = max([n for n, count in zip(HEADS, counts, strict=True) if count <= most], default=HEADS[0])
+    rows = needs.groupBy(F.substring("needs", 1, size).alias("head")).agg(F.sort_array(F.collect_set(F.length("needs"))).alias("n"))
+    return [(r.head, list(r.n)) for r in rows.orderBy("head").collect()]
+
+
 def _as_findings(matched: DataFrame) -> DataFrame:
     line_no: Column = (F.col("line_no") + 1).cast("int")
     return matched.select(
@@ -127,22 +172,22 @@ def scan_rule_table(files: DataFrame, table: DataFrame, block_rules: int = BLOCK
     """
     made = table.select(*RULE).where(F.col("pattern").isNotNull()).withColumn("needs", _factor_of("pattern"))
     stored = write_and_read(made.withColumn("java", F.concat(F.lit(text.java_regex("", ignore_case=True)), "pattern")), "rules")
-    blocks = max(1, -(-stored.count() // block_rules))
-    out = None
-    for block in range(blocks):
-        mine = stored.where(F.pmod(F.xxhash64("needs"), F.lit(blocks)) == block)
-        factors = [r[0] for r in mine.where("needs is not null").select("needs").distinct().orderBy("needs").collect()]
-        if not factors:
-            continue
+    if stored.count() <= block_rules:
+        factors = [r[0] for r in stored.where("needs is not null").select("needs").distinct().orderBy("needs").collect()]
         ids = files.sparkSession.createDataFrame(list(enumerate(factors)), "factor int, needs string")
-        keyed = mine.join(ids, "needs").drop("needs", "pattern")
-        placed = files.withColumn("_places", _places(factors)(text.fold_case(F.col("content")))).where(F.size("_places") > 0)
+        # A small table goes to every task.
+        found, by, keyed = _places(factors), "factor", F.broadcast(stored.join(ids, "needs").drop("needs", "pattern"))
+    else:
+        factors = _heads(stored, block_rules)
+        found, by, keyed = _strings(factors), "needs", stored.where("needs is not null").drop("pattern")
+    out = None
+    if factors:
+        # No filter on the places: it would run the automaton a second time.
+        placed = files.withColumn("_places", found(text.fold_case(F.col("content"))))
         cut = arrays.let(text.lines_of(F.col("content")), lambda lines: F.transform("_places", lambda p: F.struct(
-            p["factor"].alias("factor"), p["line"].alias("line_no"), F.get(lines, p["line"]).alias("line"))))
+            p[by].alias(by), p["line"].alias("line_no"), F.get(lines, p["line"]).alias("line"))))
         rows = placed.select(*KEY, F.inline(cut))
-        # A block of rules is bounded by its length, so it goes to every task.
-        some = _as_findings(rows.join(F.broadcast(keyed), "factor").where(F.rlike("line", F.col("java"))))
-        out = some if out is None else out.unionByName(some)
+        out = _as_findings(rows.join(keyed, by).where(F.rlike("line", F.col("java"))))
     rest = [r.asDict() for r in stored.where("needs is null").select(*RULE).orderBy("rule_id", "pattern").collect()]
     for k in range(0, len(rest), UNINDEXED):
         some = rules.scan_rules(files, rest[k : k + UNINDEXED])

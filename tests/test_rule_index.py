@@ -63,6 +63,16 @@ def test_ten_thousand_rules(spark, make_files):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_a_large_table_reads_the_texts_once(spark, make_files):
+    table = [row(k, rf"pkg_{k}\b") for k in range(60)] + [row(k, rf"mod{k % 7}_name{k}") for k in range(60, 90)]
+    files = make_files(("a.go", "pkg_1 pkg_12x pkg_59\npkg_5"), ("b.go", "mod4_name60\nPKG_\n7 mod6_na\nme62 pkg_59 pkg_60"))
+    df = spark.createDataFrame(table, SCHEMA)
+    for block in (1, 20, 80):
+        found = rule_index.scan_rule_table(files, df, block)
+        assert answer(found) == answer(rules.scan_rules(files, as_rules(table)))
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_empty_tables(spark, make_files):
     files = make_files(("a.go", "token"))
     none = spark.createDataFrame([], SCHEMA)
