@@ -439,3 +439,24 @@ def test_many_f_strings_take_linear_time(make_files):
 
     seconds(10)
     assert seconds(8000) < 20
+
+
+def test_syntax_lists_are_columns_cut_at_files():
+    import pyarrow as pa
+
+    from codeveritas.operators import syntax
+
+    many = "\n".join(f"x{k} = f(y, {k})" for k in range(6000))
+    codes = pa.array(["def f(a):\n    return a", None, " ", "x = (", many, "if é:\n    y = 'ü' + k", many, ""])
+    nodes = syntax.python_nodes.func(codes).to_pylist()
+    tokens = syntax.python_tokens.func(codes).to_pylist()
+    assert [len(x) > 0 for x in nodes] == [True, False, False, False, True, True, True, False]
+    assert [t["text"] for t in tokens[0]] == ["def", "f", "(", "a", ")", ":", "return", "a"]
+    assert [t["text"] for t in tokens[3]] == ["x", "=", "("] and nodes[4] == nodes[6]
+    assert all([n["id"] for n in x] == list(range(len(x))) and (not x or x[0]["last"] == len(x) - 1) for x in nodes)
+    name = next(n for n in nodes[5] if n["name"] == "str")
+    assert codes[5].as_py().encode()[name["start"] : name["end"]].decode() == "'ü'"
+    # What a batch holds as Python objects is bounded by _CHUNK and one file.
+    held = []
+    syntax._mapped(codes, lambda code, out: (held.append(len(out[0])), syntax._nodes(code, out)), syntax._NODE)
+    assert max(held) <= syntax._CHUNK
