@@ -15,6 +15,7 @@ import csv
 import io
 import sys
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from .directories import list_tree, open_root
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of a chunk, and of a read past its end; bytes of records in an Arrow batch.
-CHUNK_BYTES, STEP_BYTES, BATCH_BYTES = 64 << 20, 1 << 20, 16 << 20
+CHUNK_BYTES, STEP_BYTES, BATCH_BYTES, BATCH_ROWS = 64 << 20, 1 << 20, 4 << 20, 500
 
 _QUOTE, _BREAK, _RETURN = b'"'[0], b"\n"[0], b"\r"[0]
 
@@ -171,7 +172,7 @@ def _records(file, start: int, chunk_bytes: int, inside: bool, columns: list[str
     header = _header(file)
     places = [header.index(c) if c in header else None for c in columns]
     for at, data in _owned(file, start, min(start + chunk_bytes, file.size()), inside):
-        rows = list(_parsed(data, at))[1 if at == 0 else 0 :]
-        rows = [r for r in rows if r]
-        out = [[r[p] if p is not None and p < len(r) else None for r in rows] for p in places]
-        yield pa.record_batch([pa.array(c, pa.string()) for c in out], names=columns)
+        rows = (r for r in islice(_parsed(data, at), 1 if at == 0 else 0, None) if r)
+        while some := list(islice(rows, BATCH_ROWS)):
+            out = [[r[p] if p is not None and p < len(r) else None for r in some] for p in places]
+            yield pa.record_batch([pa.array(c, pa.string()) for c in out], names=columns)

@@ -84,3 +84,11 @@ def test_fields_longer_than_a_chunk_and_empty_files(spark, tmp_path):
     (tmp_path / "_SUCCESS").write_text("no data")
     rows = csv_chunks.read_csv(spark, str(tmp_path), ["code", "label", "missing"], chunk_bytes=50_000).collect()
     assert [(len(r.code), r.label, r.missing) for r in rows] == [(600_000, "1", None)]
+
+
+def test_records_leave_in_batches_of_few_rows():
+    data = b"code,label\n" + b"".join(b'"a ""%d""\nb",1\n\n' % k for k in range(3 * csv_chunks.BATCH_ROWS + 7))
+    batches = list(csv_chunks._records(Bytes(data), 0, len(data), False, ["code", "label"]))
+    assert [b.num_rows for b in batches] == [*[csv_chunks.BATCH_ROWS] * 3, 7]
+    got = [r["code"] for b in batches for r in b.to_pylist()]
+    assert got == [f'a "{k}"\nb' for k in range(len(got))]
