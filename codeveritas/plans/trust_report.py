@@ -48,7 +48,7 @@ def _with_trees(files: DataFrame, model: ensemble.Ensemble | None, structural_ru
         code = F.col("code")
         out = out.withColumn("style", F.when(
             symbols.is_python() & ~text.is_blank(code),
-            style.feature_struct(code, F.col("tokens"), F.col("nodes")),
+            style.feature_struct(code, F.col("tokens"), F.col("nodes"), F.col(heuristics.LEVEL)),
         ))
         out = out.withColumn("model_input", F.when(
             F.col("style").isNotNull(), style.feature_array(F.col("style"), model.features)
@@ -71,7 +71,7 @@ def file_facts(
     findings of the structural rules.
     """
     code, content = F.col("code"), F.col("content")
-    files = scoring.with_char_level(coerce_language(files))
+    files = scoring.with_char_level(coerce_language(files), python=model is not None)
     if model is not None or structural_rules:
         files = _with_trees(files, model, structural_rules)
     scored = None
