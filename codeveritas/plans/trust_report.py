@@ -71,7 +71,7 @@ def file_facts(
     findings of the structural rules.
     """
     code, content = F.col("code"), F.col("content")
-    files = scoring.with_char_level(coerce_language(files), python=model is not None)
+    files = scoring.with_text_figures(coerce_language(files), python=model is not None)
     if model is not None or structural_rules:
         files = _with_trees(files, model, structural_rules)
     scored = None
@@ -85,7 +85,9 @@ def file_facts(
         "size_bytes",
         symbols.line_profile(code)["line_count"].alias("line_count"),
         symbols.function_total(code).alias("function_count"),
-        scoring.base_probability(code, scored, F.col(heuristics.LEVEL)).alias("base"),
+        scoring.base_probability(
+            code, scored, F.col(heuristics.LEVEL), F.col(heuristics.COUNTS)
+        ).alias("base"),
         scoring.detection_method(code, scored).alias("detection_method"),
         symbols.import_array(code).alias("imports"),
         rules.finding_array(content, line_rules).alias("findings"),
