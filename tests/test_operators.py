@@ -3,6 +3,7 @@ from __future__ import annotations
 import ast
 import keyword
 import statistics
+from collections import Counter
 
 import pytest
 from conftest import JS_SAMPLE, PY_SAMPLE
@@ -258,6 +259,17 @@ def test_token_bigrams_window(make_files):
     assert got == {("a", "="): 2, ("=", "b"): 1, ("b", "a"): 1, ("=", "c"): 1}
 
 
+def test_token_bigrams_deal_files_into_many_parts(make_files):
+    """No task holds more than a small share of the tokens, however well they compress."""
+    files = make_files(*[(f"m{k}.py", f"a = b{k}\n") for k in range(300)])
+    pairs = syntax.token_bigrams(syntax.explode_tokens(files))
+    parts = pairs.withColumn("part", F.spark_partition_id()).collect()
+    assert {(r.file_path, r.text, r.next_text, r.pairs) for r in parts} == {
+        row for k in range(300) for row in ((f"m{k}.py", "a", "=", 1), (f"m{k}.py", "=", f"b{k}", 1))
+    }
+    assert max(Counter(r.part for r in parts).values()) < 60
+
+
 # --- heuristic -------------------------------------------------------------------------
 
 
