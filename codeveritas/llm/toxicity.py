@@ -10,7 +10,8 @@ As averaging and softmax input are linear, every n-gram adds a fixed amount to t
 two class scores.  Scoring sums these amounts, per distinct word once and then per text.
 
 Training reads a bounded sample of the labelled rows, `per_class[k]` documents of class k with the
-smallest hashes of their ids, as n-gram counts (at most `2 ** BUCKET_BITS` pairs a document).
+smallest hashes of their ids, as n-gram counts (at most `2 ** BUCKET_BITS` pairs a document).  The
+driver holds them packed, but for those of the mini-batch at hand.
 Classes are weighted so that the sample stands for their shares in all labelled rows.
 
 Defined results: null, empty and wordless texts get the score of an empty bag, which is the bias;
@@ -22,7 +23,7 @@ once for each; without any labelled row, or with one class only, the score is th
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -98,6 +99,29 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return found.astype(np.int32), counts[found].astype(np.float32)
 
 
+def pack(buckets: np.ndarray, counts: np.ndarray) -> bytes:
+    """A bag as the steps between its buckets and its counts, each in the least width; two bytes tell the widths."""
+    parts = [x.astype(f"<u{np.min_scalar_type(int(x.max(initial=0))).itemsize}") for x in (np.diff(buckets, prepend=0), counts)]
+    return bytes(x.itemsize for x in parts) + b"".join(x.tobytes() for x in parts)
+
+
+class Packed(Sequence):
+    """Bags that are unpacked when asked for."""
+
+    def __init__(self, bags: list[bytes]):
+        self.bags = bags
+
+    def __len__(self) -> int:
+        return len(self.bags)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        line = self.bags[k]
+        wide, of_count = line[:2]
+        n = (len(line) - 2) // (wide + of_count)
+        steps = np.frombuffer(line, f"<u{wide}", n, 2)
+        return np.cumsum(steps, dtype=np.int32), np.frombuffer(line, f"<u{of_count}", n, 2 + n * wide).astype(np.float32)
+
+
 @dataclass
 class Model:
     """What each n-gram adds to the difference of the class scores, and the bias."""
@@ -109,7 +133,7 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(mean + self.bias, -30, 30)))
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray,
+def train(bags: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray,
           epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 7) -> Model:
     """Embeddings, softmax weights and bias by mini-batch Adagrad."""
     n_buckets = 1 << BUCKET_BITS
@@ -123,11 +147,12 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights
         order = draw.permutation(len(bags))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
-            ids = np.concatenate([bags[r][0] for r in rows])
+            chosen = [bags[r] for r in rows]
+            ids = np.concatenate([b for b, _ in chosen])
             used, column = np.unique(ids, return_inverse=True)
             x = np.zeros((len(rows), len(used)), np.float32)
-            line = np.repeat(np.arange(len(rows)), [len(bags[r][0]) for r in rows])
-            x[line, column] = np.concatenate([bags[r][1] / (bags[r][1].sum() + EMPTY) for r in rows])
+            line = np.repeat(np.arange(len(rows)), [len(b) for b, _ in chosen])
+            x[line, column] = np.concatenate([c / (c.sum() + EMPTY) for _, c in chosen])
             hidden = x @ embed[used]
             z = hidden @ soft + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -199,23 +224,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in blocks(batches):
-            pairs = [bag(t.decode()) for t in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("mark"),
-                 pa.array([p[0] for p in pairs], pa.list_(pa.int32())),
-                 pa.array([p[1] for p in pairs], pa.list_(pa.float32()))],
-                names=["id", "mark", "buckets", "counts"],
-            )
-
-    got = sample.mapInArrow(bags, "id long, mark int, buckets array<int>, counts array<float>").toArrow()
+            packed = pa.array([pack(*bag(t.decode())) for t in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), packed], names=["id", "mark", "bag"])
+
+    got = sample.mapInArrow(bags, "id long, mark int, bag binary").toArrow()
     marked = got["mark"].to_numpy().astype(np.int64)
-    rows = [(np.asarray(b.values), np.asarray(c.values)) for b, c in zip(got["buckets"], got["counts"])]
-    # In the order of ids, without a second copy of the sample.
     order = np.lexsort((marked, got["id"].to_numpy()))
-    marked, rows = marked[order], [rows[k] for k in order]
+    rows, marked = got["bag"].to_pylist(), marked[order]
+    del got
     sampled = np.bincount(marked, minlength=2)
     weight = np.array([totals[k] / sum(totals.values()) * len(rows) / max(1, sampled[k]) for k in (0, 1)])
-    return train(rows, marked, weight[marked].astype(np.float32))
+    return train(Packed([rows[k] for k in order]), marked, weight[marked].astype(np.float32))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:

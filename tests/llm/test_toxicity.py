@@ -46,6 +46,32 @@ def test_words_add_up():
         assert np.isclose(toxicity.Scorer(model).scores([text])[0], model.probability(mean))
 
 
+def test_packed_bags_are_the_same_and_small():
+    draw = np.random.default_rng(5)
+    text = " ".join("".join(draw.choice(list("rstlnaeiou"), 7)) for _ in range(400))
+    texts = ["", "a", "a cat", text, "aa " * 300, "".join(draw.choice(list("ab"), 70_000))]
+    bags = [toxicity.bag(t) for t in texts]
+    packed = toxicity.Packed([toxicity.pack(*b) for b in bags])
+    for want, got in zip(bags, packed, strict=True):
+        assert all((w == g).all() and w.dtype == g.dtype for w, g in zip(want, got, strict=True))
+    assert 2 * len(packed.bags[3]) < sum(x.nbytes for x in bags[3])
+
+
+def test_training_keeps_the_sample_packed(spark, monkeypatch):
+    seen = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda bags, *rest: seen.append(bags) or train(bags, *rest))
+    rows = made(120, 4, ["dreckhund"])
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    kept = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    bags = [toxicity.bag(t) for _, t, _ in kept]
+    assert all((w == g).all() for want, got in zip(bags, seen[0], strict=True) for w, g in zip(want, got))
+    assert sum(map(len, seen[0].bags)) < 4 * sum(len(b) for b, _ in bags)
+    plain = train(bags, np.array([r[2] for r in kept]), np.ones(len(kept), np.float32))
+    assert (plain.amounts == model.amounts).all() and plain.bias == model.bias
+
+
 def test_edge_cases(edge, nothing, labels):
     model = toxicity.fit(edge, labels)
     got = toxicity.score(edge, model)
