@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import write_and_read
 from .base import blocks, identified, original_id
 from .qgrams import doubled, eight_grams, joined, pair, sliding
 
@@ -323,6 +324,8 @@ def duplicate_runs(rows: DataFrame) -> DataFrame:
     """id, tie, runs, spans: what is removed from each row of `base.identified` that loses bytes."""
     texts = rows.select("id", "tie", "text")
     state = _by_document(_sorted_buckets(texts.mapInArrow(_first_buckets, ROWS), ["key"], "id1"), packed=True)
+    # Written, so that the rows of the first buckets leave the disk before the texts are exchanged.
+    state = write_and_read(state, "suffix-state")
     for step, bucket, then in ((_grouped, ["key", "id1"], "id2"), (_single, ["key", "id1"], None)):
         joined_ = texts.join(state, ["id", "tie"]).select(
             "id", "tie", F.when(F.size("open") > 0, F.col("text")).alias("text"), "runs", "open", "spans"

@@ -67,3 +67,9 @@ def test_edge_cases(edge, nothing):
 def test_merged_intervals():
     a, b = suffix_dedup.merged(np.array([5, 0, 3, 20]), np.array([9, 3, 4, 21]))
     assert list(zip(a, b)) == [(0, 4), (5, 9), (20, 21)]
+
+
+def test_first_buckets_are_written_before_texts_are_exchanged(spark):
+    rows = spark.createDataFrame([(k, f"{k} " * 9 + "the same words again " * 20) for k in range(30)], "doc_id long, text string")
+    plan = suffix_dedup.dedup(rows.repartition(3))._jdf.queryExecution().executedPlan().toString()
+    assert "_first_buckets(" not in plan and "_grouped(" in plan
