@@ -4,10 +4,15 @@ import json
 import math
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
 from codeveritas.functions.ranking import rank_by_hash, running_totals, seeded_hash
-from codeveritas.operators import evaluation, training
+from codeveritas.operators import evaluation, style, training
+from codeveritas.plans import queries_learning
+from codeveritas.session import write_and_read
 from codeveritas.sources.reports import write_metrics
 
 
@@ -120,3 +125,46 @@ def test_group_split_marks_samples_where_they_stand(spark):
     # 24 groups with the null one: 5 of them are the test side, unless null is among the first.
     assert sum(s == {True} for s in sides.values()) in (4, 5)
     assert training.group_split(df.limit(0)).count() == 0
+
+
+class _Search(Exception):
+    """Stops a query where its search would begin."""
+
+
+def _searched(monkeypatch, query):
+    """The estimator, the parameter maps by name and the folds that a query searches with."""
+
+    def search(estimator, grid, train, folds, parallelism):
+        raise _Search(estimator, [{p.name: v for p, v in draw.items()} for draw in grid], folds)
+
+    rows = [(k, k % 2, *[float(k)] * len(style.FEATURES)) for k in range(10)]
+    columns = ", ".join(f"{c} double" for c in style.FEATURES)
+    monkeypatch.setattr(training, "_cross_validate", search)
+    return lambda spark: pytest.raises(_Search, query, spark.createDataFrame(rows, f"doc_id long, label int, {columns}")).value.args
+
+
+def test_forest_queries_train_the_whole_forest(spark, monkeypatch):
+    estimator, grid, folds = _searched(monkeypatch, queries_learning._forest)(spark)
+    forest = estimator.getStages()[-1]
+    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (500, 15, 2)
+    assert folds == 5 and grid == [{}]
+
+
+def test_all_folds_of_a_search_share_its_fits(spark):
+    table = spark.range(200).select(
+        "id", (F.col("id") % 2).cast("int").alias("label"), F.pmod(F.xxhash64("id"), F.lit(5)).cast("int").alias("fold"),
+        (F.col("id") % 2 + F.rand(1)).alias("a"), F.rand(2).alias("b"),
+    ).withColumn("weight", F.lit(1.0)).coalesce(1)
+    table = write_and_read(table, "cross-validated")
+    forest = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight", seed=1, numTrees=3)
+    estimator = Pipeline(stages=[*training._feature_stages(["a", "b"]), forest])
+    grid = [{forest.maxDepth: 1}, {forest.maxDepth: 3}]
+    got = training._cross_validate(estimator, grid, table, 5, 4)
+    want = CrossValidator(
+        estimator=estimator, estimatorParamMaps=grid, evaluator=training._evaluator(), numFolds=5, foldCol="fold",
+    ).fit(table)
+    assert got.avgMetrics == pytest.approx(want.avgMetrics) and got.stdMetrics == pytest.approx(want.stdMetrics)
+    assert got.bestModel.stages[-1].toDebugString == want.bestModel.stages[-1].toDebugString.replace(
+        want.bestModel.stages[-1].uid, got.bestModel.stages[-1].uid)
+    with pytest.raises(ValueError, match="validation data at fold 4 is empty"):
+        training._cross_validate(estimator, grid, table.where("fold < 4"), 5, 4)
