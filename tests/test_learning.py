@@ -150,6 +150,11 @@ def test_forest_queries_train_the_whole_forest(spark, monkeypatch):
     assert folds == 5 and grid == [{}]
 
 
+def test_boosted_queries_search_all_trials_and_folds(spark, monkeypatch):
+    _, grid, folds = _searched(monkeypatch, queries_learning._boosted)(spark)
+    assert (len(grid), folds) == (50, 5)
+
+
 def test_all_folds_of_a_search_share_its_fits(spark):
     table = spark.range(200).select(
         "id", (F.col("id") % 2).cast("int").alias("label"), F.pmod(F.xxhash64("id"), F.lit(5)).cast("int").alias("fold"),
