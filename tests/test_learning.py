@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.ml import Pipeline
@@ -155,6 +156,13 @@ def test_boosted_queries_search_all_trials_and_folds(spark, monkeypatch):
     assert (len(grid), folds) == (50, 5)
 
 
+def test_boosted_queries_search_the_whole_space(spark, monkeypatch):
+    _, grid, _ = _searched(monkeypatch, queries_learning._boosted)(spark)
+    draw = random.Random(training.SEED)
+    assert grid == [training.boosted_trial(draw) for _ in range(50)]
+    assert max(d["maxIter"] for d in grid) > 500 and max(d["maxDepth"] for d in grid) > 10
+
+
 def test_all_folds_of_a_search_share_its_fits(spark):
     table = spark.range(200).select(
         "id", (F.col("id") % 2).cast("int").alias("label"), F.pmod(F.xxhash64("id"), F.lit(5)).cast("int").alias("fold"),
