@@ -9,7 +9,8 @@ as they are (words have at least twice as many), so every signature is taken onc
 that loses nothing and keeps signatures of common letters short.  Words with an equal signature
 are joined, and a pair stays if its edit distance is exactly one.
 
-Counts are added up within tasks before they move, and only the vocabulary is joined, never the text.
+Counts are added up within tasks before they move, and only the vocabulary is joined, never the text;
+all joins are by sorting, none by a table that passes through the driver.
 
 Defined results: null, empty and letterless text has no words; a null id counts as the empty string
 in the hash of `planted`; repeated rows count as often as they occur; other columns are not read.
@@ -185,7 +186,8 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     a = signed.select("signature", F.col("word").alias("a"), F.col("n").alias("n_a"))
     b = signed.select(F.col("signature").alias("other"), F.col("word").alias("b"), F.col("n").alias("n_b"))
     close = (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b", 1) == 1)
-    return a.join(b, (F.col("signature") == F.col("other")) & (F.col("a") < F.col("b")) & close).select("a", "b", "n_a", "n_b").distinct()
+    # Spark sizes the signatures of a word like the word alone, so without the hint it would send them all to the driver.
+    return a.hint("merge").join(b.hint("merge"), (F.col("signature") == F.col("other")) & (F.col("a") < F.col("b")) & close).select("a", "b", "n_a", "n_b").distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -197,7 +199,7 @@ def roots(forms: DataFrame) -> DataFrame:
     while True:
         step = at.select(F.col("word").alias("root"), F.col("root").alias("further"))
         at = write_and_read(
-            at.join(step, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")),
+            at.join(step.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")),
             "spelling-roots")
         if not at.filter("moved").limit(1).count():
             return at.select("word", "root")
@@ -223,5 +225,5 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ch
     near = write_and_read(
         best.select("word", "n_near", F.when(taken, F.col("best.o")).alias("form"), F.when(taken, -F.col("best.k")).alias("form_n")), "spelling-near")
     ends = roots(near.filter("form is not null").select("word", "form"))
-    return vocabulary.join(near, "word", "left").join(ends, "word", "left").select(
+    return vocabulary.join(near.hint("merge"), "word", "left").join(ends.hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")

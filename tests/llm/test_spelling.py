@@ -112,3 +112,13 @@ def test_edge_cases(spark, edge, nothing):
     assert s.variants(nothing).count() == 0
     repeated = s.variants(edge.unionByName(edge).unionByName(edge), least_count=3)
     assert answer(repeated)["without"][2] == 3
+
+
+def test_no_table_is_broadcast(spark):
+    """Spark sizes what comes out of Arrow batches like their input, 20 signatures of a word like the word."""
+    words = [f"{a}{b}rmations" for a in ("info", "infos", "confi", "trans") for b in "abcdefg"]
+    df = spark.createDataFrame([(k, " ".join(words * 5)) for k in range(3)], "doc_id long, text string")
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    vocabulary = s.write_and_read(s.word_counts(df), "spelling-words")
+    assert "Broadcast" not in plan(s.near_words(vocabulary)) and "SortMergeJoin" in plan(s.near_words(vocabulary))
+    assert "Broadcast" not in plan(s.variants(df))
