@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tests.llm.helpers import edge, labels, nothing  # noqa: F401
 from codeveritas.llm import passage_chains as chains
@@ -151,6 +152,56 @@ def test_the_shorter_text_travels_to_the_longer_one(spark):
     assert sorted(got, key=lambda r: r[:2]) == sorted([(a, b, [[a, b, 4]], of[a], of[b]) for a, b in pairs], key=lambda r: r[:2])
 
 
+def test_blocks_of_pairs_hold_each_text_once_and_are_bounded_by_both_sides():
+    long = [c * 200_000 for c in "abcdefgh"]
+    rows = [(k, k, [], "x", t) for k, t in enumerate(long)] + [(k, k, [], "x", long[7]) for k in range(8, 20)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("a", "b", "chains", "left", "right"), r)) for r in rows])
+    got = []
+    for piece, texts, left, right in chains._pair_blocks([batch]):
+        assert len(set(texts)) == len(texts) and sum(map(len, texts)) <= chains.BLOCK_BYTES + 200_000
+        got += zip(piece.column("a").to_pylist(), (texts[k].decode() for k in left), (texts[k].decode() for k in right))
+    assert got == [(r[0], r[3], r[4]) for r in rows]
+
+
+def test_common_words_extensions_and_matches_equal_plain_ones():
+    draw = random.Random(9)
+    for _ in range(300):
+        a, b = ([draw.randrange(4) for _ in range(draw.randrange(40))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for word in a:
+            new = [0]
+            for k, other in enumerate(b):
+                new.append(row[k] + 1 if word == other else max(new[k], row[k + 1]))
+            row = new
+        assert chains._matched(a, b) == row[-1]
+        x, y = draw.randint(0, len(a)), draw.randint(0, len(b))
+        for step, p, q in ((1, a[x:], b[y:]), (-1, a[:x][::-1], b[:y][::-1])):
+            score, best, want = 0, 0, (0, 0)
+            for k, (u, v) in enumerate(zip(p, q)):
+                score += 1 if u == v else -1
+                if best - score > chains.DROP:
+                    break
+                if score > best:
+                    best, want = score, (k + 1, sum(s == t for s, t in zip(p[: k + 1], q[: k + 1])))
+            assert chains._extension(a, b, x, y, step) == want
+        low, cut, stop = draw.randint(-20, 10), draw.randint(0, len(a)), draw.choice((None, draw.randint(0, len(b))))
+        high, seen = low + draw.randint(0, 20), np.zeros(4, bool)
+        line = np.sort(np.array(b, np.int64) << 32 | np.arange(len(b)))
+        got = chains.rematched(np.array(a, np.int64), np.array(b, np.int64), line, seen, low, high, cut, stop)
+        want = [(i, j) for i in range(cut, len(a)) for j in range(len(b)) if a[i] == b[j] and low <= i - j <= high and (stop is None or j < stop)]
+        assert list(zip(*map(np.ndarray.tolist, got))) == want and not seen.any()
+
+
+def test_few_matches_are_joined_like_many():
+    draw = np.random.default_rng(5)
+    for n in [*range(1, 17)] * 5:
+        places = np.unique(draw.integers(0, 30, (n, 2)), axis=0)
+        x, y = places.T
+        far = np.arange(20)
+        many = chains.segments(np.append(x, 10_000 + 100 * far), np.append(y, 20_000 + 300 * far))
+        assert chains.segments(x, y).tolist() == many[: len(many) - 20].tolist()
+
+
 def test_edge_cases(edge, nothing):
     assert chains.repeated_passages(nothing).count() == 0
     for r in chains.repeated_passages(edge).collect():
